@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, packing, pii, quality, toxicity
+from . import bpe, jaccard_join, language_id, packing, pii, pitman_yor, quality, toxicity
 from .common import fold_col
 
 #: Largest numbers of sampled labelled rows that a classifier is fitted on.
@@ -56,6 +56,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_out(pitman_yor.score(table(spark, sf_dir, "documents")), 7, 2)
+
+
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -64,5 +68,5 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_skip_chain, op3_toxicity_crf, op4_quality_attention, op5_language_ftrl, op7_jaccard_join, op9_bpe_transducer, op10_residual_packing)}
+QUERIES = {f.__name__: f for f in (op2_pii_skip_chain, op3_toxicity_crf, op4_quality_attention, op5_language_ftrl, op7_jaccard_join, op8_pitman_yor, op9_bpe_transducer, op10_residual_packing)}
 ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": jaccard_join.ORACLE_SQL}
