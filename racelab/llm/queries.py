@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, packing, pii, pitman_yor, quality, toxicity
+from . import bpe, jaccard_join, language_id, packing, pii, pitman_yor, quality, toxicity, tree_forest
 from .common import fold_col
 
 #: Largest numbers of sampled labelled rows that a classifier is fitted on.
@@ -52,6 +52,10 @@ def op5_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(language_id.identify(docs, model), 5, 0).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -68,5 +72,5 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_skip_chain, op3_toxicity_crf, op4_quality_attention, op5_language_ftrl, op7_jaccard_join, op8_pitman_yor, op9_bpe_transducer, op10_residual_packing)}
-ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": jaccard_join.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op2_pii_skip_chain, op3_toxicity_crf, op4_quality_attention, op5_language_ftrl, op6_tree_forest, op7_jaccard_join, op8_pitman_yor, op9_bpe_transducer, op10_residual_packing)}
+ORACLE_SQL: dict[str, str] = {"op6_tree_forest": tree_forest.ORACLE_SQL, "op7_jaccard_join": jaccard_join.ORACLE_SQL}
