@@ -1,18 +1,55 @@
-"""A corpus pipeline: language, toxicity, near duplicates, personal data, packing."""
+"""A corpus pipeline: language, toxicity, near duplicates, personal data, packing.
+
+Every stage takes the documents that the one before kept. The first four return the columns of
+documents, the last one the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from racelab.llm import language_id, packing, pii, toxicity
+from racelab.llm import jaccard_join, language_id, packing, pii, toxicity
 from racelab.llm import queries as q
+from racelab.llm.common import Scratch
 
-_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The stages hold fitted models, which SQL can't express.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or with no probable language go."""
+    return language_id.keep_identified(docs, language_id.train(docs, q.ROWS_PER_LANGUAGE))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.7 or more go."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, q.table(spark, sf_dir, "labels"), q.LABELLED_ROWS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id stays of each component; a repeated row stays once."""
+    groups = jaccard_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked in the texts; n_chars follows."""
+    masked = pii.redact(docs, pii.train(docs, q.PII_ROWS))
+    return masked.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, q.word_bpe())
+
+
+STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = q.table(spark, sf_dir, "documents")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -71,6 +71,20 @@ def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def keep_rows(docs: DataFrame, decider) -> DataFrame:
+    """Rows of ``docs`` whose text the decider keeps; all columns stay and nothing is shuffled.
+
+    ``decider()`` is called once in a task and gives a function from a text to true or false.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = decider()
+        for b in batches:
+            yield b.filter(pa.array([keep(t) for t in strings(b)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def col(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fold, fold_col, only, strings
+from .common import col, fold, fold_col, keep_rows, only, strings
 
 DIM = 1 << 14
 _LETTER: np.ndarray | None = None
@@ -196,4 +196,18 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-__all__ = ["LanguageModel", "counts", "document_frequencies", "fold", "ftrl", "identify", "sum_counts", "train"]
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """Rows with an identified language and at least this probability, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decider():
+        def keep(text: str) -> bool:
+            lang, score = shared.value.predict(text)
+            return lang != "und" and score >= least
+
+        return keep
+
+    return keep_rows(docs, decider)
+
+
+__all__ = ["LanguageModel", "counts", "document_frequencies", "fold", "ftrl", "identify", "keep_identified", "sum_counts", "train"]

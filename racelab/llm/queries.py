@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, packing, pii, pitman_yor, quality, toxicity, tree_forest
+from . import bpe, jaccard_join, language_id, learned_partitions, packing, pii, pitman_yor, quality, toxicity, tree_forest
 from .common import fold_col
 
 #: Largest numbers of sampled labelled rows that a classifier is fitted on.
@@ -27,6 +27,10 @@ def _held_out(df: DataFrame, parts: int, rest: int) -> DataFrame:
     return df.withColumn("held_out", fold_col(F.col("doc_id"), parts) == rest)
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.detect(docs, pii.train(docs, PII_ROWS))
@@ -72,5 +76,5 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_skip_chain, op3_toxicity_crf, op4_quality_attention, op5_language_ftrl, op6_tree_forest, op7_jaccard_join, op8_pitman_yor, op9_bpe_transducer, op10_residual_packing)}
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_pii_skip_chain, op3_toxicity_crf, op4_quality_attention, op5_language_ftrl, op6_tree_forest, op7_jaccard_join, op8_pitman_yor, op9_bpe_transducer, op10_residual_packing)}
 ORACLE_SQL: dict[str, str] = {"op6_tree_forest": tree_forest.ORACLE_SQL, "op7_jaccard_join": jaccard_join.ORACLE_SQL}

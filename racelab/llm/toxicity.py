@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import col, fold, only, strings
+from .common import col, fold, keep_rows, only, strings
 from .sample import labelled_texts
 
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -252,9 +252,26 @@ def tag(docs: DataFrame, model: ToxicModel) -> DataFrame:
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double, spans array<struct<start:long,end:long>>")
 
 
+def keep_clean(docs: DataFrame, model: ToxicModel, below: float = 0.7) -> DataFrame:
+    """Rows that score below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decider():
+        model, evidence = shared.value, _Evidence(shared.value)
+
+        def keep(text: str) -> bool:
+            each = list(map(evidence.__getitem__, text.split()))
+            at = [i for i, s in enumerate(each) if s]
+            return model.score(model.marginals(at, [each[i] for i in at], len(each))) < below
+
+        return keep
+
+    return keep_rows(docs, decider)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> ToxicModel:
     """Fit on at most ``rows`` labelled documents outside fold 1 of 3."""
     return fit(labelled_texts(docs, labels, "toxic", rows, 3, 1))
 
 
-__all__ = ["ToxicModel", "features", "fit", "fold", "tag", "train"]
+__all__ = ["ToxicModel", "features", "fit", "fold", "keep_clean", "tag", "train"]
