@@ -1,4 +1,11 @@
 """Registered queries: name to Spark function and to the equivalent SQL."""
 
+from __future__ import annotations
+
+from . import evaluation, features
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (features, evaluation):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
