@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, features
+from . import evaluation, features, ledgers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (features, evaluation):
+for _module in (features, evaluation, ledgers):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
