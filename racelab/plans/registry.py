@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, features, ledgers
+from . import evaluation, features, ledgers, models
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (features, evaluation, ledgers):
+for _module in (features, evaluation, ledgers, models):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
