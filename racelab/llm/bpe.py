@@ -19,6 +19,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 import zlib
 from array import array
@@ -32,10 +33,13 @@ from pyspark.sql import DataFrame
 from .common import col, only, strings
 
 SPACE = "\t-\r \x85\xa0  -     　"
-_SPLIT = regex.compile(f"[{SPACE}]+")
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: Fixed by the tokenizer file's pre-tokenizer.
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same for lower-cased texts without characters beyond ASCII, or beyond U+024F.
+_ASCII = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^{SPACE}a-z0-9]+")
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{SPACE}{_LETTERS}{_NUMBERS}]+")
+_WIDE = re.compile("[^\x00-ɏ]")
 
 
 def byte_chars() -> list[str]:
@@ -153,21 +157,114 @@ class Transducer:
         return common or []
 
 
+class Windows:
+    """Merges of many short pre-tokens at once, in numpy; each is one window of the transducer.
+
+    Words of one length are rows of a matrix. In each round every row merges its lowest-ranked pair,
+    the leftmost among equals, and only the two new pairs are looked up.
+    """
+
+    def __init__(self, vocab: dict[str, int], rank: dict[tuple[str, str], int], suffix: str, chars: list[str]):
+        self.first = np.array([vocab[c] for c in chars], np.int64)
+        self.final = np.array([vocab[c + suffix] for c in chars], np.int64)
+        size = 1 << 19
+        self.mask = size - 1
+        self.keys = np.full(size + 64, -1, np.int64)
+        self.rank = np.full(size + 64, _NEVER, np.int64)
+        self.made = np.zeros(size + 64, np.int64)
+        self.reach = 1
+        for (a, b), r in rank.items():
+            key = vocab[a] << 20 | vocab[b]
+            at = self._home(key)
+            step = 0
+            while self.keys[at + step] >= 0:
+                step += 1
+            self.reach = max(self.reach, step + 1)
+            self.keys[at + step], self.rank[at + step], self.made[at + step] = key, r, vocab[a + b]
+
+    def _home(self, key):
+        return (key * 0x2545F491 ^ key >> 17) & self.mask
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        """Where each pair is in the table; a slot without a rank if it is no merge."""
+        at = self._home(key)
+        bad = np.flatnonzero(self.keys[at] != key)
+        for _ in range(self.reach - 1):
+            if not len(bad):
+                break
+            at[bad] += 1
+            bad = bad[(self.keys[at[bad]] != key[bad]) & (self.keys[at[bad]] >= 0)]
+        miss = self.keys[at] != key
+        at[miss] = len(self.keys) - 1
+        return at
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each word, given as its bytes."""
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for n, rows in by_length.items():
+            raw = np.frombuffer(b"".join([words[i] for i in rows]), np.uint8).reshape(len(rows), n)
+            tok = self.first[raw]
+            tok[:, -1] = self.final[raw[:, -1]]
+            name = np.array(rows)
+            slot = self._slots((tok[:, :-1] << 20 | tok[:, 1:]).ravel()).reshape(len(rows), n - 1)
+            while True:
+                k = tok.shape[1]
+                if k > 1:
+                    rank = self.rank[slot]
+                    at = rank.argmin(1)
+                    i = np.arange(len(tok))
+                    live = rank[i, at] < _NEVER
+                else:
+                    live = np.zeros(len(tok), bool)
+                done = np.flatnonzero(~live)
+                if len(done):
+                    data, width = tok[done].astype("<u4").tobytes(), 4 * k
+                    for j, row in enumerate(name[done].tolist()):
+                        out[row] = data[j * width : (j + 1) * width]
+                    if len(done) == len(tok):
+                        break
+                    tok, slot, name, at = tok[live], slot[live], name[live], at[live]
+                    i = np.arange(len(tok))
+                tok[i, at] = self.made[slot[i, at]]
+                # drop the merged symbol and its pair; every row gets shorter by one
+                keep = np.ones(tok.shape, bool)
+                keep[i, at + 1] = False
+                tok = tok[keep].reshape(len(tok), k - 1)
+                keep = np.ones(slot.shape, bool)
+                keep[i, at] = False
+                slot = slot[keep].reshape(len(tok), k - 2)
+                if k > 2:
+                    left, right = np.flatnonzero(at > 0), np.flatnonzero(at < k - 2)
+                    for r, c in ((left, at[left] - 1), (right, at[right])):
+                        slot[r, c] = self._slots(tok[r, c] << 20 | tok[r, c + 1])
+        return out
+
+
 class _Cache(dict):
-    """At most ``size`` short keys; a missing one is computed."""
+    """Words in two generations of ``size``: what is looked up again outlives the older one."""
 
     def __init__(self, make, size: int):
         super().__init__()
         self.make, self.size = make, size
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        got = self.make(key)
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
         if len(key) <= 64:
-            if len(self) >= self.size:
-                self.clear()
             self[key] = got
         return got
 
+    def turn(self) -> None:
+        """Start a new generation if this one is full; between texts, so a text finds its words."""
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+
 
 class Tokenizer:
     """A tokenizer file (word-end BPE over bytes; lower case; white space dropped) on the transducer."""
@@ -186,65 +283,76 @@ class Tokenizer:
         self.transducer = Transducer(self.vocab, merges, self.suffix)
         self.bytes = byte_chars()
         self.byte_of = {c: b for b, c in enumerate(self.bytes)}
-        self.cache_size = cache
-        self._chunks = _Cache(self._chunk, cache)
-        self._words: dict[str, bytes] = {}
+        self.windows = Windows(self.vocab, self.transducer.rank, self.suffix, self.bytes)
+        self.words = _Cache(self._word, cache)
 
     # -- encoding
 
     def _word(self, word: str) -> bytes:
-        got = self._words.get(word)
-        if got is None:
-            chars = list(word) if word.isascii() and word.isalpha() else [self.bytes[b] for b in word.encode("utf-8", "replace")]
-            chars[-1] += self.suffix
-            # a pre-token that ends within the lookahead is one window: nothing can be emitted earlier
-            short = len(chars) <= self.transducer.lookahead
-            vocab = self.vocab
-            got = array("I", [vocab[t] for t in (self.transducer.merge(chars) if short else self.transducer.stream(chars))]).tobytes()
-            if short:
-                if len(self._words) >= self.cache_size:
-                    self._words.clear()
-                self._words[word] = got
-        return got
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Little-endian ids of a text without white space and special tokens."""
-        if chunk.isascii():
-            s = chunk.lower()
-        else:
-            s = unicodedata.normalize("NFC", chunk)
-            s = s.lower() if "Σ" not in s else "".join(c.lower() for c in s)
-        if s.isalpha():
-            return self._word(s)
-        if s[-1] in ".,|!" and s[:-1].isalpha():
-            return self._word(s[:-1]) + self._word(s[-1])
-        return b"".join(map(self._word, _PRE.findall(s)))
-
-    def _split(self, text: str) -> list[str]:
-        return [w for w in _SPLIT.split(text) if w] if _ODD_SPACE.search(text) else text.split()
-
-    def pieces(self, text: str) -> Iterator[bytes]:
-        """The ids of each stretch of the text, as little-endian unsigned 32-bit numbers."""
-        get = self._chunks.__getitem__
+        """Little-endian ids of one pre-token, by the transducer."""
+        chars = [self.bytes[b] for b in word.encode("utf-8", "replace")]
+        chars[-1] += self.suffix
+        return array("I", map(self.vocab.__getitem__, self.transducer.stream(chars))).tobytes()
+
+    @staticmethod
+    def pretokens(text: str) -> list[str]:
+        """Letter runs, single digits and runs of other marks of a text, normalised and lower-cased."""
+        if text.isascii():
+            return _ASCII.findall(text.lower())
+        s = unicodedata.normalize("NFC", text)
+        s = s.lower() if "Σ" not in s else "".join(c.lower() for c in s)
+        return (_PRE if _WIDE.search(s) else _LATIN).findall(s)
+
+    def _stretches(self, text: str) -> list[list[str]]:
+        """Pre-tokens between special tokens; a special token stands alone."""
         if "<|" not in text:
-            yield from map(get, self._split(text))
-            return
-        at = 0
+            return [self.pretokens(text)]
+        out, at = [], 0
         for m in self._special.finditer(text):
-            yield from map(get, self._split(text[at : m.start()]))
-            yield array("I", [self.special[m[0]]]).tobytes()
+            out += [self.pretokens(text[at : m.start()]), [m[0]]]
             at = m.end()
-        yield from map(get, self._split(text[at:]))
+        return [*out, self.pretokens(text[at:])]
+
+    def learn(self, stretches: list[list[str]]) -> None:
+        """Cache the words of some texts that are still unknown, all windows at once."""
+        words = self.words
+        words.turn()
+        new: set[str] = set()
+        for s in stretches:
+            new.update(s)
+        short, raw = [], []
+        for w in new:
+            if w in words:
+                continue
+            if (got := words.older.get(w)) is not None:
+                words[w] = got
+            else:
+                b = w.encode("utf-8", "replace")
+                if len(b) <= self.transducer.lookahead:
+                    short.append(w)
+                    raw.append(b)
+        words.update(zip(short, self.windows.encode(raw)))
+
+    def encode_all(self, texts: list[str], end: bytes = b"", chars: int = 6_000_000) -> Iterator[np.ndarray]:
+        """The ids of each text, then ``end``; the words of a bounded run of texts are learnt together."""
+        at = 0
+        while at < len(texts):
+            run, size = [], 0
+            while at < len(texts) and (not run or size < chars):
+                run.append(self._stretches(texts[at]))
+                size += len(texts[at])
+                at += 1
+            self.learn([s for t in run for s in t])
+            get = self.words.__getitem__
+            for t in run:
+                if len(t) == 1:
+                    yield np.frombuffer(b"".join(map(get, t[0])) + end, "<u4")
+                else:
+                    parts = [array("I", [self.special[s[0]]]).tobytes() if k % 2 else b"".join(map(get, s)) for k, s in enumerate(t)]
+                    yield np.frombuffer(b"".join(parts) + end, "<u4")
 
     def encode(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        parts = self.pieces(text) if "<|" in text else map(self._chunks.__getitem__, self._split(text))
-        return np.frombuffer(b"".join(parts), "<u4")
-
-    def encode_with_end(self, text: str, end: bytes) -> np.ndarray:
-        """The ids of a text and then one more, given as its four bytes."""
-        parts = self.pieces(text) if "<|" in text else map(self._chunks.__getitem__, self._split(text))
-        return np.frombuffer(b"".join(parts) + end, "<u4")
+        return next(self.encode_all([text or ""]))
 
     # -- decoding
 
@@ -294,7 +402,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         t = tokenizer(path)
         for b in batches:
-            ids = [t.encode(x) for x in strings(b)]
+            ids = [*t.encode_all(strings(b))]
             out = ["".join(t.decode_text(x)) for x in ids]
             yield pa.record_batch([col(b, "doc_id"), pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32())), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
 
@@ -309,36 +417,22 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         t = tokenizer(path)
-        said: dict[bytes, tuple[int, bytes, bytes]] = {}
+        most = max(t.tokens) + 1
+        number = [b" %d" % i for i in range(most)].__getitem__
+        name = [(" " + t.tokens.get(i, "")).encode() for i in range(most)].__getitem__
         for b in batches:
             n, a, d = [], [], []
-            for text in strings(b):
-                ids, out, count = hashlib.sha256(), hashlib.sha256(), 0
-                hold_ids: list[bytes] = []
-                hold_out: list[bytes] = []
-                for piece in t.pieces(text):
-                    got = said.get(piece)
-                    if got is None:
-                        if len(said) > 100_000:
-                            said.clear()
-                        x = np.frombuffer(piece, "<u4").tolist()
-                        got = said[piece] = (len(x), " ".join(map(str, x)).encode(), "".join(t.decode_tokens(x)).encode())
-                    if not got[0]:
-                        continue
-                    count += got[0]
-                    hold_ids.append(got[1])
-                    hold_out.append(got[2])
-                    if len(hold_ids) >= 4096:
-                        # one piece stays behind, so that a separator is written only between pieces
-                        ids.update(b" ".join(hold_ids[:-1]) + b" ")
-                        out.update(b" ".join(hold_out[:-1]) + b" ")
-                        del hold_ids[:-1], hold_out[:-1]
-                ids.update(b" ".join(hold_ids))
-                out.update(b" ".join(hold_out))
-                n.append(count)
-                a.append(ids.hexdigest())
-                d.append(out.hexdigest())
-            yield pa.record_batch([col(b, "doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for ids in t.encode_all(strings(b)):
+                said = hashlib.sha256(), hashlib.sha256()
+                for at in range(0, len(ids), 1 << 16):
+                    part = ids[at : at + (1 << 16)].tolist()
+                    for h, say in zip(said, (number, name)):
+                        text = b"".join(map(say, part))
+                        h.update(text if at else memoryview(text)[1:])
+                n.append(len(ids))
+                a.append(said[0].hexdigest())
+                d.append(said[1].hexdigest())
+            yield pa.record_batch([col(b, "doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -347,4 +441,4 @@ def piece_rows(ids: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]
     """(piece, start, length, crc32) of a document's ids, cut every ``size`` tokens."""
     for k, at in enumerate(range(0, len(ids), size)):
         part = ids[at : at + size]
-        yield k, at, len(part), zlib.crc32(part.tobytes())
+        yield k, at, len(part), zlib.crc32(part)

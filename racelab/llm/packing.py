@@ -81,8 +81,7 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, slack:
             return pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)], [c.split()[0] for c in _COLS.split(", ")])
 
         for b in batches:
-            for doc_id, text in zip(col(b, "doc_id").to_pylist(), strings(b)):
-                ids = t.encode_with_end(text, sep)
+            for doc_id, ids in zip(col(b, "doc_id").to_pylist(), t.encode_all(strings(b), sep)):
                 held += [(doc_id, *p) for p in piece_rows(ids, limit)]
                 if len(held) >= window:
                     yield flush(held)
