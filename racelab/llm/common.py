@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,7 +169,7 @@ def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
 # ------------------------------------------------------------- components
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], block: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Each block of links becomes a spanning star for each of its components (bounded memory)."""
 
     def flush(a: list, b: list) -> pa.RecordBatch:
@@ -195,22 +196,38 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a += col(batch, "a").to_pylist()
         b += col(batch, "b").to_pylist()
-        if len(a) >= 200_000:
+        if len(a) >= block:
             yield flush(a, b)
             a, b = [], []
     if a:
         yield flush(a, b)
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of a bounded number of links."""
+    all_links = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())])).combine_chunks()
+    stars = list(_stars(iter(all_links.to_batches()), all_links.num_rows + 1))
+    for s in stars:
+        roots = pa.compute.unique(s.column(0))
+        yield pa.record_batch([pa.concat_arrays([s.column(1), roots]), pa.concat_arrays([s.column(0), roots])], ["node", "comp"])
+
+
+def components(links: DataFrame, scratch: Scratch, small: int = 300_000) -> DataFrame:
     """Connected components of links (a, b): (node, comp), comp the smallest node reachable.
 
-    Labels move along links and jump to their label's label until nothing changes; each round is
-    two hash joins and an aggregation, written to the shared folder. Nodes without links are left out.
+    Every task first replaces its links by spanning stars. If at most ``small`` are left, one task
+    joins them up (some 10 MB). Else labels move along links and jump to their label's label until
+    nothing changes; each round is two hash joins and an aggregation, written to the shared folder.
+    Nodes without links are left out.
     """
-    e = links.where("a <> b").select("a", "b").mapInArrow(_stars, "a long, b long").distinct()
+    e = links.where("a <> b").select("a", "b").mapInArrow(_stars, "a long, b long")
     e = scratch.save(e, "links")
-    both = scratch.save(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    if e.count() <= small:
+        lab = scratch.save(e.coalesce(1).mapInArrow(_one_task, "node long, comp long"), "label")
+        scratch.drop(e)
+        return lab
+    distinct = e.distinct()
+    both = scratch.save(distinct.union(distinct.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
     lab = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
     lab = scratch.save(lab, "label")
     while True:
