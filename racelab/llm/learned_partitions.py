@@ -31,7 +31,7 @@ from .common import Scratch, col
 from .vectors import hash_sample, matrix, read_vectors
 
 
-def neighbour_graph(x: np.ndarray, k: int, block: int = 2048) -> np.ndarray:
+def neighbour_graph(x: np.ndarray, k: int, block: int = 256) -> np.ndarray:
     """The k rows of largest inner product with each row, itself left out."""
     out = []
     k = min(k, len(x) - 1)
