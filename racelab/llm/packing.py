@@ -3,7 +3,7 @@
 Every task tokenizes its documents, cuts those longer than the limit and best-fits the pieces of a
 bounded window, longest first. Bins that are nearly full are final. Underfull bins travel on as
 items of their fill: they are merged in groups by further best-fit rounds, each over fewer items,
-until one small group is left or a round merges next to nothing. Only (bin, fill) moves between
+until one small group is left or a round merges nothing. Only (bin, fill) moves between
 rounds; pieces stay where they were written and learn their place by one join.
 
 Null texts count as empty (one token: the end id). Repeated rows and null ids are packed like any
@@ -106,23 +106,24 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, slack:
     # one piece of each bin stands at offset 0, so this lists every underfull bin once
     under = pieces.where(~F.col("closed") & (F.col("offset") == 0)).select(F.col("bin").alias("root"), "fill")
     place = None
-    left = under.count()
+    left, turn = under.count(), 0
     while left:
         groups = -(-left // group)
-        move = scratch.save(under.repartition(groups, "root").mapInArrow(merge, "root long, into long, shift long, fill long"), "move")
-        now = move.select(F.col("root").alias("r"), "into", F.col("shift").alias("by"))
+        turn += 1
+        # other groups in each round: two bins that best fit left apart in one group never fit together
+        move = scratch.save(under.repartition(groups, F.xxhash64("root", F.lit(turn))).mapInArrow(merge, "root long, into long, shift long, fill long"), "move")
         if place is None:
             place = move.select(F.col("root").alias("bin"), "into", "shift")
         else:
-            place = place.join(now.withColumnRenamed("into", "into2"), F.col("into") == F.col("r")).select("bin", F.col("into2").alias("into"), (F.col("shift") + F.col("by")).alias("shift")).unionByName(closed_place)
-        bins = move.where("root = into").select("root", "fill")
-        open_bins = bins.where(F.col("fill") < limit - slack)
-        still = open_bins.count()
-        if groups == 1 or still > 0.9 * left:
+            # bins that closed in any earlier round did not travel and stay where they are
+            now = move.select(F.col("root").alias("r"), F.col("into").alias("into2"), F.col("shift").alias("by"))
+            moved = place.join(now, F.col("into") == F.col("r"), "left")
+            place = scratch.save(moved.select("bin", F.coalesce("into2", "into").alias("into"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift")), "place")
+        under = move.where(F.col("root") == F.col("into")).where(F.col("fill") < limit - slack).select("root", "fill")
+        still = under.count()
+        if groups == 1 or still == left:
             break
-        done = bins.where(F.col("fill") >= limit - slack).select(F.col("root").alias("into"))
-        closed_place = place.join(done, "into", "left_semi").select("bin", "into", "shift")
-        under, left = open_bins, still
+        left = still
     done_rows = pieces.where("closed").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
     if place is None:
         return done_rows

@@ -322,6 +322,12 @@ def test_packing_in_many_rounds(spark, library):
     assert bins <= math.ceil(tokens / 2048) + 3
 
 
+def test_packing_keeps_bins_closed_in_early_rounds(spark, library):
+    docs = [(k, "word " * (1018 if k % 4 == 0 else k % 37 + 1)) for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    check_packing(packing.pack(df, q.word_bpe(), group=2, window=1).collect(), docs, library)
+
+
 def test_best_fit_is_tightest():
     bins, fill = packing.best_fit([(0, 6), (1, 5), (2, 4), (3, 5)], 10)
     assert sorted(map(sorted, bins)) == [[0, 2], [1, 3]] and fill == [10, 10]
