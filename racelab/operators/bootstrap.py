@@ -23,3 +23,21 @@ def replicates(races: DataFrame, number: str, sums: list[str], count: int) -> Da
     rows = races.select(number, *sums, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("replicate"))
     w = weight(F.col(number), F.col("replicate"))
     return rows.groupBy("replicate").agg(*[F.sum(w * F.col(c)).alias(c) for c in sums], F.sum(w).cast("long").alias("weight"))
+
+
+def roi_interval(races: DataFrame, number: str, count: int = 5000, least: int = 20, level: float = 0.95) -> DataFrame:
+    """One row: the interval of the return on (stake, payout) races over all replicates that stake
+    something. With fewer than ``least`` races there are no bounds, only the status."""
+    roi = F.col("payout") / F.nullif(F.col("stake"), F.lit(0)) - 1
+    tail = (1 - level) / 2
+    got = replicates(races, number, ["stake", "payout"], count).agg(
+        F.count(roi).alias("n"),
+        F.round(F.percentile(roi, F.lit(tail)), 7).alias("low"),
+        F.round(F.percentile(roi, F.lit(1 - tail)), 7).alias("high"),
+        F.round(F.avg((roi > 0).cast("double")), 9).alias("positive"),
+    )
+    got = got.crossJoin(F.broadcast(races.agg(F.count("*").alias("clusters"))))
+    few, none = F.col("clusters") < least, F.col("n") == 0
+    status = F.when(few, "insufficient_race_clusters").when(none, "unavailable").otherwise("available")
+    bounds = [F.when(~few & ~none, F.col(c)).alias(c) for c in ("low", "high", "positive")]
+    return got.select(status.alias("status"), F.when(few | none, F.lit(count).cast("long")).otherwise(F.col("n")).alias("replicates"), *bounds, "clusters")

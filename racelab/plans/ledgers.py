@@ -143,9 +143,19 @@ SELECT count(*) AS replicates, round(avg(CASE WHEN gain > 0 THEN 1.0e0 ELSE 0 EN
     ),
 )
 def paired_bootstrap(spark, d):
+    return _paired(spark, d, 100)
+
+
+@register("paired_bootstrap_1000")
+def paired_bootstrap_1000(spark, d):
+    """The whole job; paired_bootstrap keeps the 100 replicates of its SQL."""
+    return _paired(spark, d, 1000)
+
+
+def _paired(spark, d, count: int) -> DataFrame:
     gain = F.sum(F.pow(_m() - _win(), 2) - F.pow(_p() - _win(), 2))
     races = scored(spark, d).groupBy(F.col("race_id").cast("long").alias("rid")).agg(gain.alias("gain"))
-    reps = bootstrap.replicates(races, "rid", ["gain"], 100)
+    reps = bootstrap.replicates(races, "rid", ["gain"], count)
     mean = F.col("gain") / F.col("weight")
     got = reps.agg(F.count("*").alias("replicates"), F.round(F.avg(F.when(F.col("gain") > 0, 1.0).otherwise(0.0)), 9).alias("support"), F.round(F.percentile(mean, F.lit(0.05)), 7).alias("low"), F.round(F.percentile(mean, F.lit(0.95)), 7).alias("high"))
     return got.crossJoin(F.broadcast(races.agg(F.round(F.avg("gain"), 7).alias("observed"))))
@@ -179,6 +189,13 @@ def roi_bootstrap(spark, d):
     return got.crossJoin(F.broadcast(races.agg(F.count("*").alias("clusters"))))
 
 
+@register("roi_bootstrap_5000")
+def roi_bootstrap_5000(spark, d):
+    """The whole job, with a floor of 20 races; roi_bootstrap keeps the 200 replicates of its SQL."""
+    races = bets(spark, d).groupBy("rid").agg(F.sum("stake").alias("stake"), F.sum("payout").alias("payout"))
+    return bootstrap.roi_interval(races, "rid")
+
+
 # --------------------------------------------------------------- bankroll
 
 
