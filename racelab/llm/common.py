@@ -163,7 +163,8 @@ def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
         acc = np.zeros(m, np.uint64)
         for j in range(k):
             acc += words[j : j + m] * (_C[j % 5] + _U(2 * (j // 5)))
-        return np.unique(mix64(acc))
+        acc = np.sort(mix64(acc))
+        return acc[np.append(True, acc[1:] != acc[:-1])]
 
 
 # ------------------------------------------------------------- components
@@ -203,43 +204,49 @@ def _stars(batches: Iterator[pa.RecordBatch], block: int = 200_000) -> Iterator[
         yield flush(a, b)
 
 
-def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, comp) of a bounded number of links."""
-    all_links = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())])).combine_chunks()
-    stars = list(_stars(iter(all_links.to_batches()), all_links.num_rows + 1))
-    for s in stars:
-        roots = pa.compute.unique(s.column(0))
-        yield pa.record_batch([pa.concat_arrays([s.column(1), roots]), pa.concat_arrays([s.column(0), roots])], ["node", "comp"])
+def salted(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join on a key that many rows of ``left`` may share: its rows are dealt by ``by`` as well, and
+    ``right``, one row a key, is repeated ``salts`` times."""
+    right = right.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(right, [on, "_salt"], how).drop("_salt")
 
 
-def components(links: DataFrame, scratch: Scratch, small: int = 300_000) -> DataFrame:
-    """Connected components of links (a, b): (node, comp), comp the smallest node reachable.
+def components(links: DataFrame, scratch: Scratch, block: int = 200_000) -> DataFrame:
+    """Connected components of links (a, b): (node, comp), comp one of the nodes, the same for all.
 
-    Every task first replaces its links by spanning stars. If at most ``small`` are left, one task
-    joins them up (some 10 MB). Else labels move along links and jump to their label's label until
-    nothing changes; each round is two hash joins and an aggregation, written to the shared folder.
-    Nodes without links are left out.
+    Every task first replaces its links by spanning stars. A round then points every node to its
+    smallest neighbour and contracts the links to those; again stars, until no link is left. Each
+    round is a few hash joins and an aggregation, written to the shared folder; a node with very
+    many links is dealt to several tasks. Nodes should be hashes and are compared by their lower
+    half first: a chain in order of its nodes would take many rounds. Nodes without links are left
+    out.
     """
-    e = links.where("a <> b").select("a", "b").mapInArrow(_stars, "a long, b long")
-    e = scratch.save(e, "links")
-    if e.count() <= small:
-        lab = scratch.save(e.coalesce(1).mapInArrow(_one_task, "node long, comp long"), "label")
-        scratch.drop(e)
-        return lab
-    distinct = e.distinct()
-    both = scratch.save(distinct.union(distinct.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-    lab = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
-    lab = scratch.save(lab, "label")
+
+    def stars(df: DataFrame) -> DataFrame:
+        return scratch.save(df.mapInArrow(lambda batches: _stars(batches, block), "a long, b long"), "stars")
+
+    def swapped(c: str):
+        return F.shiftleft(c, 32).bitwiseOR(F.shiftrightunsigned(c, 32)).alias(c)
+
+    e = stars(links.where("a <> b").select(swapped("a"), swapped("b")))
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    label = None
     while True:
-        near = both.join(lab.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        new = lab.join(near, "node").select("node", F.least("comp", "near").alias("hop"), F.col("comp").alias("was"))
-        new = scratch.save(new, "hop")
-        to = new.select(F.col("node").alias("hop"), F.col("hop").alias("comp"))
-        jumped = scratch.save(new.join(to, "hop").select("node", "comp", "was"), "label")
-        changed = jumped.where("comp <> was").limit(1).count()
-        scratch.drop(new, lab)
-        lab = jumped
-        if not changed:
-            break
-    scratch.drop(e, both)
-    return lab.select("node", "comp")
+        up = scratch.save(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "up")
+        if label is None:
+            new = nodes.join(up, "node", "left").select("node", F.coalesce("up", "node").alias("comp"))
+        else:
+            used = label.select(F.col("comp").alias("node")).distinct()
+            hop = up.join(used, "node", "left_semi").withColumnRenamed("node", "comp")
+            new = salted(label, hop, "comp", "node").select("node", F.coalesce("up", "comp").alias("comp"))
+        new = scratch.save(new, "label")
+        # both ends of each link move up; a star's centre may be hot, its leaves are not
+        moved = e.join(up.select(F.col("node").alias("b"), F.col("up").alias("x")), "b")
+        centres = up.join(e.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+        moved = salted(moved, centres.select(F.col("node").alias("a"), "up"), "a", "b").select("x", F.coalesce("up", "a").alias("y")).where("x <> y")
+        left = stars(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        scratch.drop(e, up, *([] if label is None else [label]))
+        e, label = left, new
+        if not e.limit(1).count():
+            scratch.drop(e)
+            return label.select(swapped("node"), swapped("comp"))

@@ -80,6 +80,64 @@ def test_jaccard_against_all_pairs(spark):
     assert {r.doc_id: r.n_shingles for r in got} == {k: len(shingles(t)) for k, t in rows}
 
 
+def test_jaccard_of_a_large_group_of_near_copies(spark):
+    """2000 copies changed to many degrees, most pairs below the threshold; cells of several tiles."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    origin = [word() for _ in range(150)]
+    rows = []
+    for k in range(2000):
+        w = list(origin)
+        for _ in range(rng.randrange(1, 12)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((k, " ".join(w)))
+    names = {}
+    sets = [np.array(sorted(names.setdefault(x, len(names)) for x in shingles(t))) for _, t in rows]
+    has = np.zeros((2000, len(names)), np.float32)
+    for k, x in enumerate(sets):
+        has[k, x] = 1
+    common, n = has @ has.T, np.array([len(x) for x in sets])
+    near = 100 * common >= 75 * (n[:, None] + n[None] - common)
+    comp = np.arange(2000)
+    while True:
+        new = np.where(near, comp[None], 2000).min(1)
+        if (new == comp).all():
+            break
+        comp = new
+    assert 1 < len(set(comp)) < 1900
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()}
+    assert got == dict(enumerate(comp.tolist()))
+
+
+def test_cells_find_all_links_between_components():
+    rng = np.random.default_rng(4)
+    sketch = np.arange(1 << 18)[::-1].astype(np.int32)
+    sets = []
+    base = rng.choice(1 << 18, 60, replace=False).astype(np.uint64)
+    for _ in range(120):
+        s = base.copy()
+        s[rng.integers(0, 60, rng.integers(0, 14))] = rng.integers(1 << 18, 1 << 30)
+        s = np.unique(s)
+        sets.append(s[jaccard_join.by_rarity(s, sketch)])
+    sets.sort(key=len)
+    n = np.array([len(s) for s in sets])
+    own, comp = rng.integers(0, 2, 120), np.arange(120)
+    comp[10:20] = 7
+    links = jaccard_join.search_cell(own, np.arange(120), n, comp, sets, 75)
+    root = comp.copy()
+    for two, found in ((True, links), (True, None)):
+        pairs = found if found is not None else [(a, b) for a, b in itertools.combinations(range(120), 2) if own[a] != own[b] and comp[a] != comp[b] and 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (n[a] + n[b] - c)]
+        root = comp.copy()
+        for _ in range(120):
+            for a, b in pairs:
+                root[root == max(root[a], root[b])] = min(root[a], root[b])
+        if found is not None:
+            first = root.copy()
+            assert len(found) < 120 and all(own[a] != own[b] for a, b in found)
+    assert (first == root).all()
+
+
 def test_jaccard_edges(spark):
     got = jaccard_join.join(frame(spark)).collect()
     assert len(got) == len(EDGE)
@@ -89,13 +147,22 @@ def test_jaccard_edges(spark):
     assert jaccard_join.join(empty(spark)).count() == 0
 
 
-def test_components_in_rounds_and_in_one_task(spark):
+def test_components(spark):
     rng = random.Random(1)
+    name = {k: rng.getrandbits(63) for k in range(1400)}
     links = [(k, k + 1) for k in range(0, 300) if k % 50] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(90)]
-    df = spark.createDataFrame(links, "a long, b long").repartition(5)
-    one = {r.node: r.comp for r in components(df, Scratch(spark, "t")).collect()}
-    rounds = {r.node: r.comp for r in components(df, Scratch(spark, "t"), small=0).collect()}
-    assert one == rounds and one[49] == 1 and one[300] == 251
+    links += [(1200, k) for k in range(1201, 1400)] + [(5, 5)]
+    df = spark.createDataFrame([(name[a], name[b]) for a, b in links], "a long, b long").repartition(5)
+    root = {k: k for k in name}
+    for _ in range(400):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    used = {k for a, b in links if a != b for k in (a, b)}
+    for block in (5, 200_000):
+        got = {r.node: r.comp for r in components(df, Scratch(spark, "t"), block).collect()}
+        assert set(got) == {name[k] for k in used}
+        assert {k: min(j for j in used if got[name[j]] == got[name[k]]) for k in used} == {k: root[k] for k in used}
+    assert components(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
 def test_reaches_is_the_overlap():
@@ -337,3 +404,45 @@ def test_word_hashes_follow_words():
     h = WordHasher()
     a, b = h.words("The cat,\x0bthe  CAT, é"), h.words("the cat,")
     assert a[0] == a[2] == b[0] and a[1] == a[3] == b[1] and len(a) == 5 and len(h.words(" \n")) == 0
+
+
+def test_lanes_take_the_transducers_steps(library):
+    t = bpe.Tokenizer(q.word_bpe())
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b"etaoinsrhldcumfpgwybvk\xc3\xa9\xff0") for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    words += [b"x" * 40, b"aaaaaaaaa", b"e"]
+    for w, ids in zip(words, t.lanes.encode(words, lanes=256)):
+        symbols = [t.bytes[b] for b in w]
+        symbols[-1] += t.suffix
+        got = [t.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]
+        assert got == t.transducer.merge(list(symbols))
+        if len(w) < 12:
+            assert got == list(t.transducer.stream(symbols))
+
+
+def test_bpe_in_pieces_of_bounded_size(library):
+    """A text of 8 MB: no piece of ids is large, and together they are the text's ids."""
+    t = bpe.Tokenizer(q.word_bpe())
+    unit = "the quick brown fox, 12 jumps over " + "z" * 60 + " <|endoftext|> a "
+    text = unit * (8_000_000 // len(unit))
+    want = library.encode(unit, add_special_tokens=False).ids
+    size = 0
+    for ids, ends in t.encode_pieces([text, "a"], most=50_000):
+        assert len(ids) < 500_000
+        if size < len(want) * (len(text) // len(unit)):
+            assert ids[:1].tolist() == want[size % len(want) :][:1]
+        size += len(ids)
+    assert ends and size == len(want) * (len(text) // len(unit)) + 1
+
+
+def test_decoder_keeps_its_state_between_pieces(library):
+    t = bpe.Tokenizer(q.word_bpe())
+    ids = t.encode("Grüße, 日本 <|endoftext|> ok 👩‍👩‍👧").tolist()
+    for readable in (False, True):
+        whole = t.decoder(readable)
+        want = whole.feed(ids) + whole.end()
+        for cut in range(len(ids)):
+            m = t.decoder(readable)
+            assert m.feed(ids[:cut]) + m.feed(ids[cut:]) + m.end() == want
+    m = t.decoder()
+    assert m.feed(ids) + m.end() == library.decode(ids, skip_special_tokens=False)
