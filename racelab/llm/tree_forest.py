@@ -11,14 +11,19 @@ The verified links make components. Direct links are then counted by comparing t
 component with each other, a large component in square tiles of bounded size: counts leave the
 tasks, never pairs, and no group is a hot task.
 
-Vectors that are null, zero, hold null or non-finite components, or are not as long as most, link
-with nothing: no links, their own component. Rows with the same vec_id count as vectors of their
-own. An empty table gives no rows.
+Where many projections are equal, so that the margin would hold far more than its share, its rows go
+to one side only, by a hash: blocks get smaller whatever the vectors.
+
+Vectors that are null, zero or hold null or non-finite components link with nothing: no links, their
+own component. Vectors of different lengths don't link; each length has a forest of its own. Rows
+with the same vec_id count as vectors of their own: one row each, and n_links counts rows. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,48 +31,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, components
-from .vectors import hash_sample, matrix, read_vectors, unit
+from .common import Scratch, col, components, mix64, salted
+from .vectors import hash_sample, matrix, read_all, unit
 
 
 def split(x: np.ndarray, rng: np.random.Generator, spill: float) -> np.ndarray:
-    """A random direction, then the lower and upper end of the margin around the median."""
+    """A random direction, the lower and upper end of the margin around the median, and whether the
+    margin holds too much to go both ways (many equal projections)."""
     direction = rng.normal(size=x.shape[1])
     direction /= np.linalg.norm(direction)
-    margin = np.quantile(x @ direction, [0.5 - spill, 0.5 + spill]) if len(x) else [0.0, 0.0]
-    return np.append(direction, margin)
+    if not len(x):
+        return np.append(direction, [0.0, 0.0, 1.0])
+    p = x @ direction
+    low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
+    return np.append(direction, [low, high, float(np.mean((p >= low) & (p <= high)) > 2 * spill + 0.25)])
 
 
-def sides(x: np.ndarray, at: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = x[at] @ node[:-2]
-    return at[p <= node[-1]], at[p >= node[-2]]
+def sides(x: np.ndarray, at: np.ndarray, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows on the two sides; those in a crowded margin go to one of them by their key."""
+    p = x[at] @ node[:-3]
+    low, high = p <= node[-2], p >= node[-3]
+    if node[-1]:
+        bit = (mix64(key[at] ^ np.frombuffer(node[:1].tobytes(), np.uint64)[0]) & np.uint64(1)).astype(bool)
+        low, high = low & ~(high & bit), high & ~(low & ~bit)
+    return at[low], at[high]
 
 
-def subtree(x: np.ndarray, depth: int, rng: np.random.Generator, spill: float) -> np.ndarray:
+def subtree(x: np.ndarray, key: np.ndarray, depth: int, rng: np.random.Generator, spill: float) -> np.ndarray:
     """Splits of ``depth`` levels fitted on x, in breadth-first order."""
     out, level = [], [np.arange(len(x))]
     for _ in range(depth):
         below = []
         for at in level:
             out.append(split(x[at] if len(at) > 1 else x, rng, spill))
-            below += sides(x, at, out[-1])
+            below += sides(x, at, out[-1], key)
         level = below
     return np.array(out)
 
 
-def descend(x: np.ndarray, at: np.ndarray, tree: np.ndarray) -> list[np.ndarray]:
+def descend(x: np.ndarray, at: np.ndarray, key: np.ndarray, tree: np.ndarray) -> list[np.ndarray]:
     """Row numbers in each block below a subtree."""
     level, k = [at], 0
     while k < len(tree):
         below = []
         for rows in level:
-            below += sides(x, rows, tree[k])
+            below += sides(x, rows, tree[k], key)
             k += 1
         level = below
     return level
 
 
-def leaves(x: np.ndarray, rng: np.random.Generator, leaf: int, spill: float) -> Iterator[np.ndarray]:
+def leaves(x: np.ndarray, key: np.ndarray, rng: np.random.Generator, leaf: int, spill: float) -> Iterator[np.ndarray]:
     """Row numbers of the leaves of one tree over x, split at exact medians."""
     todo = [np.arange(len(x))]
     while todo:
@@ -75,11 +89,9 @@ def leaves(x: np.ndarray, rng: np.random.Generator, leaf: int, spill: float) ->
         if len(at) <= leaf:
             yield at
             continue
-        node = split(x[at], rng, spill)
-        left, right = sides(x, at, node)
-        if len(left) == len(at) or len(right) == len(at):  # too many equal projections: by rank
-            order = at[np.argsort(x[at] @ node[:-2], kind="stable")]
-            left, right = order[: len(at) // 2], order[len(at) // 2 :]
+        left, right = sides(x, at, split(x[at], rng, spill), key)
+        if max(len(left), len(right)) > 0.9 * len(at):  # chance has put nearly all on one side
+            left, right = at[: len(at) // 2], at[len(at) // 2 :]
         todo += [left, right]
 
 
@@ -106,67 +118,83 @@ def _deal(points: DataFrame, dim: int, total: int, trees: int, spill: float, blo
     """(block, node, x): every point in its blocks of every tree, no block above ``block`` rows."""
     depth = int(min(8, max(0, np.ceil(np.log(max(total, 1) / block) / np.log(1 / (0.5 + spill))))))
     fitted = unit(hash_sample(points, "node", total, sample, dim)) if depth else np.zeros((0, dim))
-    top = points.sparkSession.sparkContext.broadcast([subtree(fitted, depth, np.random.default_rng([seed, t]), spill) for t in range(trees)])
+    keys = mix64(np.arange(len(fitted), dtype=np.uint64))
+    top = points.sparkSession.sparkContext.broadcast([subtree(fitted, keys, depth, np.random.default_rng([seed, t]), spill) for t in range(trees)])
     width = 1 << depth
     kinds = points.schema["x"].dataType.simpleString()
     schema = f"block long, node long, x {kinds}"
 
+    def blocks_of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each tree: block numbers and the rows in them."""
+        vectors, key = unit(matrix(col(b, "x"), dim)), np.asarray(col(b, "node")).view(np.uint64)
+        for t, tree in enumerate(top.value):
+            parts = descend(vectors, np.arange(len(vectors)), key, tree)
+            yield np.repeat(np.arange(len(parts), dtype=np.int64) + t * width, [len(p) for p in parts]), np.concatenate(parts)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            vectors = unit(matrix(col(b, "x"), dim))
-            for t, tree in enumerate(top.value):
-                parts = descend(vectors, np.arange(len(vectors)), tree)
-                rows = pa.array(np.concatenate(parts))
-                names = np.repeat(np.arange(len(parts), dtype=np.int64) + t * width, [len(p) for p in parts])
-                yield pa.record_batch([pa.array(names), col(b, "node").take(rows), col(b, "x").take(rows)], ["block", "node", "x"])
-
-    dealt, blocks, depth = points.select("node", "x").mapInArrow(route, schema), trees * width, 3
-    for level in range(40):
-        counts = dealt.groupBy("block").count().where(F.col("count") > block)
-        if not counts.limit(1).count():
-            return dealt
-        # an input of more than block * 256 rows, or a lopsided sample: split the large blocks again
-        dealt, counts = scratch.save(dealt, f"dealt{level}"), scratch.save(counts, f"large{level}")
-        large = dealt.join(counts, "block")
-        picked = large.where(F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(1 << 30)) * F.col("count") <= F.lit(sample) * F.lit(1 << 30))
+            for names, rows in blocks_of(b) if b.num_rows else ():
+                yield pa.record_batch([pa.array(names), col(b, "node").take(pa.array(rows)), col(b, "x").take(pa.array(rows))], ["block", "node", "x"])
 
-        def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(trees * width, np.int64)
+        for b in batches:
+            for names, _ in blocks_of(b) if b.num_rows else ():
+                held += np.bincount(names, minlength=len(held))
+        used = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(used), pa.array(held[used])], ["block", "n"])
+
+    own = points.select("node", "x")
+    dealt, depth, base = own.mapInArrow(route, schema), 3, trees * width
+    counts = own.mapInArrow(tally, "block long, n long").groupBy("block").agg(F.sum("n").alias("count"))
+    level = 0
+    while (counts := scratch.save(counts.where(F.col("count") > block), f"large{level}")).limit(1).count():
+        # an input of more than block * 256 rows, or a lopsided sample: split the large blocks again
+        level += 1
+        if level > 60:
+            raise RuntimeError("blocks of the forest don't get smaller")
+        if level == 1:
+            dealt = scratch.save(dealt, "dealt0")
+        large = dealt.join(F.broadcast(counts) if level == 1 else counts, "block")  # at most trees * 256 rows at first
+        picked = large.where(F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(1 << 30)).cast("double") * F.col("count") <= float(sample << 30))
+
+        def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:  # runs in this turn, before level moves on
             x = unit(np.stack(rows["x"].to_numpy()).astype(float))
-            tree = subtree(x, depth, np.random.default_rng([seed, level, key[0]]), spill)
+            tree = subtree(x, rows["node"].to_numpy().view(np.uint64), depth, np.random.default_rng([seed, level, key[0] & (2**63 - 1)]), spill)
             return pd.DataFrame({"block": [key[0]], "tree": [tree.tobytes()]})
 
         fits = scratch.save(picked.groupBy("block").applyInPandas(fit, "block long, tree binary"), f"trees{level}")
 
-        def again(batches: Iterator[pa.RecordBatch], base: int = blocks) -> Iterator[pa.RecordBatch]:
+        def again(batches: Iterator[pa.RecordBatch], base: int = base) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 names = np.asarray(col(b, "block"))
                 if not len(names):
                     continue
-                vectors = unit(matrix(col(b, "x"), dim))
+                vectors, key = unit(matrix(col(b, "x"), dim)), np.asarray(col(b, "node")).view(np.uint64)
                 for k in np.unique(names):
                     at = np.flatnonzero(names == k)
-                    tree = np.frombuffer(col(b, "tree")[int(at[0])].as_py()).reshape(-1, dim + 2)
-                    parts = descend(vectors, at, tree)
+                    tree = np.frombuffer(col(b, "tree")[int(at[0])].as_py()).reshape(-1, dim + 3)
+                    parts = descend(vectors, at, key, tree)
                     rows = pa.array(np.concatenate(parts))
-                    name = np.repeat(base + k * (1 << depth) + np.arange(len(parts), dtype=np.int64), [len(p) for p in parts])
-                    yield pa.record_batch([pa.array(name), col(b, "node").take(rows), col(b, "x").take(rows)], ["block", "node", "x"])
+                    below = mix64(np.array([k], np.int64).view(np.uint64) * np.uint64(1 << depth) + np.arange(len(parts), dtype=np.uint64)).view(np.int64) | np.int64(-(2**63))
+                    yield pa.record_batch([pa.array(np.repeat(below, [len(p) for p in parts])), col(b, "node").take(rows), col(b, "x").take(rows)], ["block", "node", "x"])
 
-        dealt = dealt.join(counts, "block", "left_anti").unionByName(large.drop("count").join(fits, "block").mapInArrow(again, schema))
-        blocks = blocks * (1 << depth) + blocks
+        split_up = scratch.save(large.drop("count").join(fits, "block").mapInArrow(again, schema), f"dealt{level}")
+        counts = split_up.groupBy("block").count()
+        dealt = dealt.join(F.broadcast(fits.select("block")) if level == 1 else fits.select("block"), "block", "left_anti").unionByName(split_up)
     return dealt
 
 
 def _count(members: DataFrame, dim: int, threshold: float, tile: int) -> DataFrame:
     """(node, near): how many vectors of its component, repeats counted, are near each class."""
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
-    rows = members.join(sizes, "comp").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
+    rows = salted(members, sizes, "comp", "node", "inner").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     # a tile pair (i, j) holds rows of both; small components share a cell of several
     other = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     rows = rows.withColumn("own", own).withColumn("cell", F.explode(other))
-    cell = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("comp"), F.lit(4096))).otherwise(F.xxhash64("comp", "cell.i", "cell.j"))
+    shared = max(1, members.count() // tile)  # as many cells as tiles of the table
+    cell = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("comp"), F.lit(shared))).otherwise(F.xxhash64("comp", "cell.i", "cell.j"))
     rows = rows.select(cell.alias("cell"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "own", "comp", "node", "n", "x")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -186,12 +214,19 @@ def _count(members: DataFrame, dim: int, threshold: float, tile: int) -> DataFra
     return rows.groupBy("cell").applyInPandas(run, "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, trees: int = 20, leaf: int = 256, spill: float = 0.04, block: int = 16384, sample: int = 16384, tile: int = 1024, seed: int = 17) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.9, trees: int = 20, leaf: int = 256, spill: float = 0.04, block: int = 16384, sample: int = 16384, tile: int = 512, seed: int = 17) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding)."""
     scratch = Scratch(rows.sparkSession, "forest")
-    vectors, dim = read_vectors(rows)
-    vectors = scratch.save(vectors.withColumn("node", F.when(F.col("x").isNotNull(), F.xxhash64("x"))), "vectors")
+    vectors = scratch.save(read_all(rows).withColumn("node", F.when(F.col("x").isNotNull(), F.xxhash64("x"))), "vectors")
     good = vectors.where("node is not null")
+    lengths = [r.k for r in good.groupBy(F.size("x").alias("k")).count().orderBy("k").collect()]
+    lone = vectors.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = reduce(DataFrame.unionByName, [_same_length(good.where(F.size("x") == k), k, scratch, threshold, trees, leaf, spill, block, sample, tile, seed) for k in lengths], lone)
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _same_length(good: DataFrame, dim: int, scratch: Scratch, threshold: float, trees: int, leaf: int, spill: float, block: int, sample: int, tile: int, seed: int) -> DataFrame:
+    """(vec_id, n_links, component_id) of usable vectors of one length."""
     points = scratch.save(good.groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.min("x").alias("x")), "classes")
     total = points.count()
     dealt = _deal(points, dim, total, trees, spill, block, sample, seed, scratch)
@@ -200,7 +235,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, trees: int = 20, le
         rows = rows.sort_values("node")
         node = rows["node"].to_numpy()
         x = unit(np.stack(rows["x"].to_numpy()).astype(float))
-        found = [(at[i], at[j]) for at in leaves(x, np.random.default_rng([seed, 9, key[0]]), leaf, spill) for i, j in spanning(x[at], threshold)]
+        rng = np.random.default_rng([seed, 9, key[0] & (2**63 - 1)])
+        found = [(at[i], at[j]) for at in leaves(x, node.view(np.uint64), rng, leaf, spill) for i, j in spanning(x[at], threshold)]
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": np.minimum(node[pairs[:, 0]], node[pairs[:, 1]]), "b": np.maximum(node[pairs[:, 0]], node[pairs[:, 1]])})
 
@@ -209,11 +245,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, trees: int = 20, le
     members = scratch.save(points.join(comps, "node"), "members")
     near = _count(members, dim, threshold, tile)
     least = members.groupBy("comp").agg(F.min("least").alias("component_id"))
-    linked = scratch.save(members.select("node", "comp").join(near, "node").join(least, "comp").select("node", "near", "component_id"), "linked")
+    linked = salted(members.select("node", "comp").join(near, "node"), least, "comp", "node", "inner")
+    linked = scratch.save(linked.select("node", "near", "component_id"), "linked")
     known = scratch.save(points.select("node", "n", "least").join(linked, "node", "left").select("node", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "known")
-    out = good.select("vec_id", "node").join(known, "node").select("vec_id", "n_links", "component_id")
-    lone = vectors.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(lone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return good.select("vec_id", "node").join(known, "node").select("vec_id", "n_links", "component_id")
 
 
 #: The same rows in SQL, by comparing all vectors (for small tables).

@@ -16,11 +16,16 @@ def usable(e: Column) -> Column:
     return F.coalesce(e.isNotNull() & good & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
-def read_vectors(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, x) of all rows, x null unless usable and as long as most usable vectors; that length."""
+def read_all(rows: DataFrame) -> DataFrame:
+    """(vec_id, x) of all rows, x null unless usable."""
     kind = "array<float>" if "array<float>" in dict(rows.dtypes).get("embedding", "") else "array<double>"
     own = only(rows, vec_id="long", embedding=kind)
-    own = own.select("vec_id", F.when(usable(F.col("embedding")), F.col("embedding")).alias("x"))
+    return own.select("vec_id", F.when(usable(F.col("embedding")), F.col("embedding")).alias("x"))
+
+
+def read_vectors(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(vec_id, x) of all rows, x null unless usable and as long as most usable vectors; that length."""
+    own = read_all(rows)
     sizes = own.where("x is not null").groupBy(F.size("x").alias("k")).count().orderBy(F.desc("count"), "k").limit(1).collect()
     dim = sizes[0].k if sizes else 0
     return own.withColumn("x", F.when(F.size("x") == dim, F.col("x"))), dim
