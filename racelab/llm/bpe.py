@@ -8,10 +8,16 @@ reach over at most ``lookahead`` symbols (the longest token of the merge list),
 that start in the last ``lookahead`` positions share their beginning, that beginning can't change
 any more and is emitted. State: one window of positions, independent of the text's length.
 
+``Transducer.stream`` takes one pre-token symbol by symbol. ``Lanes`` takes the same steps for many
+pre-tokens at once, a lane for each and all at the same position, in numpy: what fits in one window
+has nothing to emit before its end. Pre-tokens are read from the text in pieces, looked up in a
+cache of bounded size and encoded if unknown; ids leave piece by piece.
+
 Decoding. Tokens are turned into bytes, bytes into text by an incremental UTF-8 state machine that
-holds at most three pending bytes; a word-end suffix becomes a space.
+holds at most three pending bytes; ids arrive in pieces. It writes either the library's decoding
+(token strings joined by a space) or readable text (a word-end suffix becomes a space).
 
-Null texts count as empty. Words are looked up in a cache of bounded size first.
+Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +58,7 @@ def byte_chars() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-_NEVER = 1 << 60
+_NEVER = (1 << 31) - 1
 
 
 class Transducer:
@@ -157,91 +164,193 @@ class Transducer:
         return common or []
 
 
-class Windows:
-    """Merges of many short pre-tokens at once, in numpy; each is one window of the transducer.
+class _Table:
+    """Whole numbers by whole-number keys, for arrays of keys: open addressing in numpy. A table of
+    bytes answers first whether a key can be there at all; most are not."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, none: int, bits: int = 20):
+        self.none, self.shift = none, np.uint64(64 - bits)
+        home = self._home(keys)
+        order = np.argsort(home, kind="stable")
+        self.keys, self.values = np.append(keys[order], ~np.uint64(0)), np.append(values[order], none).astype(np.int32)
+        at, n = np.unique(home, return_counts=True)
+        self.most = int(n.max()) if len(n) else 0
+        self.there = np.zeros(1 << bits, np.uint8)
+        self.there[at] = n
+        self.first = np.zeros(1 << bits, np.int32)
+        self.first[at] = np.cumsum(n) - n
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        home = self._home(keys)
+        out = np.full(len(keys), self.none, np.int32)
+        todo = np.flatnonzero(self.there[home])
+        first, k = self.first[home[todo]], keys[todo]
+        for step in range(self.most):
+            hit = self.keys[np.minimum(first + step, len(self.keys) - 1)] == k
+            out[todo[hit]] = self.values[first[hit] + step]
+        return out
+
 
-    Words of one length are rows of a matrix. In each round every row merges its lowest-ranked pair,
-    the leftmost among equals, and only the two new pairs are looked up.
+class Lanes:
+    """The transducer's steps for many pre-tokens at once.
+
+    Tokens are found by a rolling hash of their symbols. Whether two tokens are compatible is read
+    off their spines: the pieces that stand at the left token's right edge, and at the right token's
+    left edge, while each is being merged, with the rank of the merge that makes each. The two stay
+    apart unless some pair of pieces that stand side by side can be merged before either grows.
     """
 
-    def __init__(self, vocab: dict[str, int], rank: dict[tuple[str, str], int], suffix: str, chars: list[str]):
-        self.first = np.array([vocab[c] for c in chars], np.int64)
-        self.final = np.array([vocab[c + suffix] for c in chars], np.int64)
-        size = 1 << 19
-        self.mask = size - 1
-        self.keys = np.full(size + 64, -1, np.int64)
-        self.rank = np.full(size + 64, _NEVER, np.int64)
-        self.made = np.zeros(size + 64, np.int64)
-        self.reach = 1
-        for (a, b), r in rank.items():
-            key = vocab[a] << 20 | vocab[b]
-            at = self._home(key)
-            step = 0
-            while self.keys[at + step] >= 0:
-                step += 1
-            self.reach = max(self.reach, step + 1)
-            self.keys[at + step], self.rank[at + step], self.made[at + step] = key, r, vocab[a + b]
-
-    def _home(self, key):
-        return (key * 0x2545F491 ^ key >> 17) & self.mask
-
-    def _slots(self, key: np.ndarray) -> np.ndarray:
-        """Where each pair is in the table; a slot without a rank if it is no merge."""
-        at = self._home(key)
-        bad = np.flatnonzero(self.keys[at] != key)
-        for _ in range(self.reach - 1):
-            if not len(bad):
-                break
-            at[bad] += 1
-            bad = bad[(self.keys[at[bad]] != key[bad]) & (self.keys[at[bad]] >= 0)]
-        miss = self.keys[at] != key
-        at[miss] = len(self.keys) - 1
-        return at
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each word, given as its bytes."""
+    def __init__(self, transducer: Transducer, vocab: dict[str, int], chars: list[str]):
+        t, suffix = transducer, transducer.suffix
+        rng = np.random.default_rng(71)
+        self.value = rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        base = 0x9E3779B97F4A7C15
+        self.power = np.array([pow(base, k, 1 << 64) for k in range(4 * t.lookahead + 1)], np.uint64)
+        self.scale = np.array([pow(base, -k, 1 << 64) for k in range(len(self.power))], np.uint64)
+        self.lookahead = t.lookahead
+        number = {c: b for b, c in enumerate(chars)}
+        made: dict[str, tuple[int, str, str]] = {}
+        for (x, y), r in t.rank.items():
+            if x + y not in made:
+                made[x + y] = (r, x, y)
+            else:  # made in two ways: as its own symbols are merged
+                *_, pair = self._last(t, x + y)
+                made[x + y] = (t.rank[pair], *pair)
+        size = max(vocab.values()) + 1
+        left, right = [None] * size, [None] * size  # spines: lists of (token id, rank that makes it)
+        units = {*chars, *(c + suffix for c in chars)}
+        keys, ids = [], []
+        for name in sorted(units, key=vocab.__getitem__):
+            left[vocab[name]] = right[vocab[name]] = [(vocab[name], -1)]
+        for name, (r, x, y) in sorted(made.items(), key=lambda m: m[1][0]):
+            i = vocab[name]
+            left[i] = [*left[vocab[x]], (i, r)]
+            right[i] = [*right[vocab[y]], (i, r)]
+        for name in {*units, *made}:
+            symbols = t.split(name)
+            h = 0
+            for k, c in enumerate(symbols):
+                v = int(self.value[number[c[0]] + 256 * (len(c) > 1)])
+                h = (h + v * pow(base, k, 1 << 64)) % (1 << 64)
+            keys.append(h)
+            ids.append(vocab[name])
+        self.tokens = _Table(np.array(keys, np.uint64), np.array(ids, np.int64), -1)
+        ranks = np.array([(vocab[x] << 20 | vocab[y], r) for (x, y), r in t.rank.items()], np.int64).reshape(-1, 2)
+        self.ranks = _Table(ranks[:, 0].astype(np.uint64), ranks[:, 1], _NEVER)
+        self.left, self.right = self._spines(left), self._spines(right)
+
+    @staticmethod
+    def _spines(spines: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each token's spine starts; token ids; ranks, the last one followed by none."""
+        sizes = [len(x) + 1 if x else 0 for x in spines]
+        flat = [y for x in spines if x for y in (*x, (0, _NEVER))]
+        names, ranks = zip(*flat)
+        return np.cumsum([0, *sizes])[:-1], np.array(names, np.int32), np.array(ranks, np.int32)
+
+    @staticmethod
+    def _last(t: Transducer, name: str) -> Iterator[tuple[str, str]]:
+        """The merges of a token's own symbols, in order."""
+        parts = t.split(name)
+        while len(parts) > 1:
+            r, i = min((t.rank.get(p, _NEVER), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if r == _NEVER:
+                return
+            yield parts[i], parts[i + 1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each pair of tokens stays two tokens when its joined symbols are merged."""
+        (start_a, name_a, rank_a), (start_b, name_b, rank_b) = self.right, self.left
+        ok = np.ones(len(a), bool)
+        at, i, j = np.arange(len(a)), start_a[a], start_b[b]
+        while len(at):
+            joined = self.ranks.get(name_a[i].astype(np.uint64) << np.uint64(20) | name_b[j].astype(np.uint64))
+            next_a, next_b = rank_a[i + 1], rank_b[j + 1]
+            # of equal ranks the leftmost goes first: the left token's own merge, then this one
+            across = (joined < next_a) & (joined <= next_b) & (joined < _NEVER)
+            ok[at[across]] = False
+            keep = ~across & (np.minimum(next_a, next_b) < _NEVER)
+            grow = (next_a <= next_b)[keep]
+            at, i, j = at[keep], i[keep] + grow, j[keep] + ~grow
+        return ok
+
+    def encode(self, words: list[bytes], lanes: int = 32_768) -> list[bytes]:
+        """Little-endian ids of each pre-token, given as its bytes; none longer than two windows.
+
+        Lanes are sorted, so that those with a common beginning stand together and one of them takes
+        the steps of that beginning for all.
+        """
         out: list[bytes] = [b""] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for n, rows in by_length.items():
-            raw = np.frombuffer(b"".join([words[i] for i in rows]), np.uint8).reshape(len(rows), n)
-            tok = self.first[raw]
-            tok[:, -1] = self.final[raw[:, -1]]
-            name = np.array(rows)
-            slot = self._slots((tok[:, :-1] << 20 | tok[:, 1:]).ravel()).reshape(len(rows), n - 1)
-            while True:
-                k = tok.shape[1]
-                if k > 1:
-                    rank = self.rank[slot]
-                    at = rank.argmin(1)
-                    i = np.arange(len(tok))
-                    live = rank[i, at] < _NEVER
-                else:
-                    live = np.zeros(len(tok), bool)
-                done = np.flatnonzero(~live)
-                if len(done):
-                    data, width = tok[done].astype("<u4").tobytes(), 4 * k
-                    for j, row in enumerate(name[done].tolist()):
-                        out[row] = data[j * width : (j + 1) * width]
-                    if len(done) == len(tok):
-                        break
-                    tok, slot, name, at = tok[live], slot[live], name[live], at[live]
-                    i = np.arange(len(tok))
-                tok[i, at] = self.made[slot[i, at]]
-                # drop the merged symbol and its pair; every row gets shorter by one
-                keep = np.ones(tok.shape, bool)
-                keep[i, at + 1] = False
-                tok = tok[keep].reshape(len(tok), k - 1)
-                keep = np.ones(slot.shape, bool)
-                keep[i, at] = False
-                slot = slot[keep].reshape(len(tok), k - 2)
-                if k > 2:
-                    left, right = np.flatnonzero(at > 0), np.flatnonzero(at < k - 2)
-                    for r, c in ((left, at[left] - 1), (right, at[right])):
-                        slot[r, c] = self._slots(tok[r, c] << 20 | tok[r, c + 1])
+        order = sorted(range(len(words)), key=words.__getitem__)
+        for k in range(0, len(order), lanes):
+            rows = order[k : k + lanes]
+            for row, ids in zip(rows, self._encode([words[i] for i in rows])):
+                out[row] = ids
         return out
 
+    def _encode(self, words: list[bytes]) -> Iterator[bytes]:
+        size = np.array([len(w) for w in words])
+        rows, longest = np.arange(len(words)), int(size.max())
+        raw = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(len(words), longest)
+        last = np.full((longest + 1, len(words)), -1, np.int32)  # of each prefix without the end: its last token
+        start = np.zeros((longest + 1, len(words)), np.int32)
+        sums = np.zeros((longest + 1, len(words)), np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((self.value[raw] * self.power[:longest]).T, 0, out=sums[1:])
+            for end in range(1, longest):
+                here = rows[size > end]
+                new = np.append(True, sums[end, here[1:]] != sums[end, here[:-1]])
+                heads = here[new]
+                token, begun = np.full(len(heads), -1, np.int32), np.zeros(len(heads), np.int32)
+                todo = np.arange(len(heads))
+                for begin in range(max(0, end - self.lookahead), end):  # the longest token first
+                    at = heads[todo]
+                    got = self.tokens.get((sums[end, at] - sums[begin, at]) * self.scale[begin])
+                    good = self._follows(got, last[begin, at]) if begin else got >= 0
+                    token[todo[good]], begun[todo[good]] = got[good], begin
+                    todo = todo[~good]
+                    if not len(todo):
+                        break
+                node = np.cumsum(new) - 1
+                last[end, here], start[end, here] = token[node], begun[node]
+            # the end: the last byte with the suffix
+            final = self.value[256 + raw[rows, size - 1].astype(np.int64)]
+            token, begun, todo = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64), rows
+            for length in range(min(longest, self.lookahead), 0, -1):
+                at = todo[size[todo] >= length]
+                begin = size[at] - length
+                got = self.tokens.get((sums[size[at] - 1, at] - sums[begin, at]) * self.scale[begin] + final[at] * self.power[length - 1])
+                good = np.where(begin > 0, self._follows(got, last[begin, at]), got >= 0)
+                token[at[good]], begun[at[good]] = got[good], begin[good]
+                done = np.zeros(len(words), bool)
+                done[at[good]] = True
+                todo = todo[~done[todo]]
+                if not len(todo):
+                    break
+        # the one chain that ends with the last symbol, from its end
+        chain, count, at = [token], np.ones(len(words), np.int64), rows[begun > 0]
+        while len(at):
+            got = np.full(len(words), -1, np.int32)
+            got[at] = last[begun[at], at]
+            chain.append(got)
+            count[at] += 1
+            begun[at] = start[begun[at], at]
+            at = at[begun[at] > 0]
+        flat = np.array(chain[::-1]).T
+        data = flat[flat >= 0].astype("<u4").tobytes()
+        stop = np.cumsum(count) * 4
+        return (data[x:y] for x, y in zip((stop - 4 * count).tolist(), stop.tolist()))
+
+    def _follows(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Which are tokens that may follow the last token of a prefix."""
+        ok = (token >= 0) & (before >= 0)
+        at = np.flatnonzero(ok)
+        ok[at] = self.fits(before[at], token[at])
+        return ok
+
 
 class _Cache(dict):
     """Words in two generations of ``size``: what is looked up again outlives the older one."""
@@ -283,8 +392,17 @@ class Tokenizer:
         self.transducer = Transducer(self.vocab, merges, self.suffix)
         self.bytes = byte_chars()
         self.byte_of = {c: b for b, c in enumerate(self.bytes)}
-        self.windows = Windows(self.vocab, self.transducer.rank, self.suffix, self.bytes)
+        self.lanes = Lanes(self.transducer, self.vocab, self.bytes)
         self.words = _Cache(self._word, cache)
+        special = set(self.special.values())
+        size = max(self.tokens) + 1
+        #: What each token adds to the library's decoding, and to readable text.
+        self.joined = [(self.tokens[i] + " ").encode() if i in self.tokens else b"" for i in range(size)]
+        self.readable = [b"" if i not in self.tokens else self.tokens[i].encode() if i in special else self._plain(self.tokens[i]) for i in range(size)]
+
+    def _plain(self, token: str) -> bytes:
+        body = token.removesuffix(self.suffix)
+        return bytes(self.byte_of[c] for c in body) + b" " * (body != token)
 
     # -- encoding
 
@@ -295,95 +413,141 @@ class Tokenizer:
         return array("I", map(self.vocab.__getitem__, self.transducer.stream(chars))).tobytes()
 
     @staticmethod
-    def pretokens(text: str) -> list[str]:
-        """Letter runs, single digits and runs of other marks of a text, normalised and lower-cased."""
+    def _normal(text: str):
+        """The pattern for a text, and the text, normalised and lower-cased."""
         if text.isascii():
-            return _ASCII.findall(text.lower())
+            return _ASCII, text.lower()
         s = unicodedata.normalize("NFC", text)
         s = s.lower() if "Σ" not in s else "".join(c.lower() for c in s)
-        return (_PRE if _WIDE.search(s) else _LATIN).findall(s)
-
-    def _stretches(self, text: str) -> list[list[str]]:
-        """Pre-tokens between special tokens; a special token stands alone."""
-        if "<|" not in text:
-            return [self.pretokens(text)]
-        out, at = [], 0
-        for m in self._special.finditer(text):
-            out += [self.pretokens(text[at : m.start()]), [m[0]]]
-            at = m.end()
-        return [*out, self.pretokens(text[at:])]
+        return (_PRE if _WIDE.search(s) else _LATIN), s
+
+    @classmethod
+    def pretokens(cls, text: str) -> list[str]:
+        """Letter runs, single digits and runs of other marks of a text, normalised and lower-cased."""
+        pattern, s = cls._normal(text)
+        return pattern.findall(s)
+
+    @classmethod
+    def _pretokens(cls, text: str) -> Iterator:
+        pattern, s = cls._normal(text)
+        return pattern.finditer(s)
 
-    def learn(self, stretches: list[list[str]]) -> None:
-        """Cache the words of some texts that are still unknown, all windows at once."""
+    def _pieces(self, text: str, most: int) -> Iterator[tuple[list[str], bool]]:
+        """Lists of at most ``most`` pre-tokens, in order; a special token stands alone (true)."""
+        at = 0
+        for m in self._special.finditer(text) if "<|" in text else ():
+            yield from ((x, False) for x in self._between(text[at : m.start()], most))
+            yield [m[0]], True
+            at = m.end()
+        yield from ((x, False) for x in self._between(text[at:] if at else text, most))
+
+    def _between(self, text: str, most: int) -> Iterator[list[str]]:
+        if len(text) <= most:
+            yield self.pretokens(text)
+        else:
+            found = (m[0] for m in self._pretokens(text))
+            while piece := list(islice(found, most)):
+                yield piece
+
+    def learn(self, pieces: list[list[str]]) -> None:
+        """Cache the words of some pieces that are still unknown: short ones side by side, the rest
+        one by one as they are met; both by the transducer's steps."""
         words = self.words
         words.turn()
         new: set[str] = set()
-        for s in stretches:
+        for s in pieces:
             new.update(s)
         short, raw = [], []
-        for w in new:
-            if w in words:
-                continue
+        for w in new.difference(words):
             if (got := words.older.get(w)) is not None:
                 words[w] = got
             else:
                 b = w.encode("utf-8", "replace")
-                if len(b) <= self.transducer.lookahead:
+                if len(b) <= 2 * self.transducer.lookahead:
                     short.append(w)
                     raw.append(b)
-        words.update(zip(short, self.windows.encode(raw)))
+        words.update(zip(short, self.lanes.encode(raw)))
 
-    def encode_all(self, texts: list[str], end: bytes = b"", chars: int = 6_000_000) -> Iterator[np.ndarray]:
-        """The ids of each text, then ``end``; the words of a bounded run of texts are learnt together."""
-        at = 0
-        while at < len(texts):
-            run, size = [], 0
-            while at < len(texts) and (not run or size < chars):
-                run.append(self._stretches(texts[at]))
-                size += len(texts[at])
-                at += 1
-            self.learn([s for t in run for s in t])
+    def encode_pieces(self, texts: Iterable[str], end: bytes = b"", most: int = 1_000_000) -> Iterator[tuple[np.ndarray, bool]]:
+        """The ids of texts, then ``end`` after each, in pieces; whether a piece ends its text.
+
+        Of all texts at most about ``most`` pre-tokens are held at a time.
+        """
+        held: list[tuple[list[str], bool, bool]] = []
+        size = 0
+
+        def flush() -> Iterator[tuple[np.ndarray, bool]]:
+            self.learn([x for x, special, _ in held if not special])
             get = self.words.__getitem__
-            for t in run:
-                if len(t) == 1:
-                    yield np.frombuffer(b"".join(map(get, t[0])) + end, "<u4")
-                else:
-                    parts = [array("I", [self.special[s[0]]]).tobytes() if k % 2 else b"".join(map(get, s)) for k, s in enumerate(t)]
-                    yield np.frombuffer(b"".join(parts) + end, "<u4")
+            for x, special, ends in held:
+                ids = self.special[x[0]].to_bytes(4, "little") if special else b"".join(map(get, x))
+                yield np.frombuffer(ids + end if ends else ids, "<u4"), ends
+            held.clear()
+
+        for text in texts:
+            pieces = self._pieces(text, most)
+            now = next(pieces)
+            while now is not None:
+                after = next(pieces, None)
+                held.append((*now, after is None))
+                size += len(now[0]) + 1
+                if size >= most:
+                    yield from flush()
+                    size = 0
+                now = after
+        yield from flush()
+
+    def encode_all(self, texts: Iterable[str], end: bytes = b"") -> Iterator[np.ndarray]:
+        """The ids of each text, then ``end``."""
+        held = []
+        for ids, ends in self.encode_pieces(texts, end):
+            held.append(ids)
+            if ends:
+                yield held[0] if len(held) == 1 else np.concatenate(held)
+                held = []
 
     def encode(self, text: str | None) -> np.ndarray:
         return next(self.encode_all([text or ""]))
 
     # -- decoding
 
+    def decoder(self, readable: bool = False) -> Decoder:
+        return Decoder(self, readable)
+
     def decode_tokens(self, ids: Iterable[int]) -> Iterator[str]:
-        """The library's decode for a file without a decoder: token strings, joined by one space."""
-        first = True
-        for i in ids:
-            t = self.tokens.get(int(i))
-            if t is not None:
-                yield t if first else " " + t
-                first = False
+        """The library's decode for a file without a decoder, piece by piece."""
+        yield from self._decode(ids, False)
 
     def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
         """Readable text, piece by piece; at most three bytes wait for their character."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        special = set(self.special.values())
-        gap = False
-        for i in ids:
-            t = self.tokens.get(int(i))
-            if t is None:
-                continue
-            if gap:
-                yield machine.decode(b" ")
-            gap = False
-            if int(i) in special:
-                yield machine.decode(t.encode())
-                continue
-            if t.endswith(self.suffix):
-                t, gap = t[: -len(self.suffix)], True
-            yield machine.decode(bytes(self.byte_of[c] for c in t))
-        yield machine.decode(b"", True)
+        yield from self._decode(ids, True)
+
+    def _decode(self, ids: Iterable[int], readable: bool) -> Iterator[str]:
+        machine, left = self.decoder(readable), iter(ids)
+        while piece := list(islice(left, 1 << 16)):
+            yield machine.feed(piece)
+        yield machine.end()
+
+
+class Decoder:
+    """Ids in, text out: a byte-to-text machine whose state is whether a space is due and at most
+    three bytes of an unfinished character."""
+
+    def __init__(self, tokenizer: Tokenizer, readable: bool):
+        table = tokenizer.readable if readable else tokenizer.joined
+        self.say = table.__getitem__
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+        self.due = b""
+
+    def feed(self, ids: list[int]) -> str:
+        """Every token's bytes end with the space that is due before the next token, if any is."""
+        data = self.due + b"".join(map(self.say, ids))
+        self.due = b" " if data.endswith(b" ") else b""
+        return self.machine.decode(data[: len(data) - len(self.due)])
+
+    def end(self) -> str:
+        self.due = b""
+        return self.machine.decode(b"", True)
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -417,21 +581,23 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         t = tokenizer(path)
-        most = max(t.tokens) + 1
-        number = [b" %d" % i for i in range(most)].__getitem__
-        name = [(" " + t.tokens.get(i, "")).encode() for i in range(most)].__getitem__
+        number = [b" %d" % i for i in range(len(t.joined))].__getitem__
         for b in batches:
             n, a, d = [], [], []
-            for ids in t.encode_all(strings(b)):
-                said = hashlib.sha256(), hashlib.sha256()
+            said, seen, machine = [hashlib.sha256(), hashlib.sha256()], 0, t.decoder()
+            for ids, ends in t.encode_pieces(strings(b)):
                 for at in range(0, len(ids), 1 << 16):
                     part = ids[at : at + (1 << 16)].tolist()
-                    for h, say in zip(said, (number, name)):
-                        text = b"".join(map(say, part))
-                        h.update(text if at else memoryview(text)[1:])
-                n.append(len(ids))
-                a.append(said[0].hexdigest())
-                d.append(said[1].hexdigest())
+                    text = b"".join(map(number, part))
+                    said[0].update(text if seen else memoryview(text)[1:])
+                    said[1].update(machine.feed(part).encode())
+                    seen += len(part)
+                if ends:
+                    said[1].update(machine.end().encode())
+                    n.append(seen)
+                    a.append(said[0].hexdigest())
+                    d.append(said[1].hexdigest())
+                    said, seen, machine = [hashlib.sha256(), hashlib.sha256()], 0, t.decoder()
             yield pa.record_batch([col(b, "doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
