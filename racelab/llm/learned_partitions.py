@@ -6,13 +6,16 @@ sizes allow; a small network (one hidden layer, softmax) learns a vector's part.
 table is put into its most probable part. A query goes to its most probable parts: so many that, on
 sample queries, the wanted share of true neighbours lies in them (vectors without structure need
 many parts, clustered ones few). There all rows are compared by exact inner product in double
-precision, in blocks of bounded size, so a part of any size is spread over tasks; each block keeps
-its best rows, and the best of all blocks are the answer.
+precision, in blocks of bounded size of rows and of queries, so a part of any size is spread over
+tasks; each block keeps its best rows, and the best of all blocks are the answer.
+
+The number of parts follows the table, from ``least_parts`` to ``most_parts``; a table with more than
+``most_parts`` * ``part_rows`` rows has longer parts, in more blocks.
 
 Vectors that are null, zero, hold null or non-finite components, or are not as long as most take no
-part, as query or candidate, nor do null ids. Equal scores rank by vec_id; repeated rows are
-candidates of their own, but a row with the query's vec_id is never its neighbour. An empty table
-gives no rows.
+part, as query or candidate, nor do null ids. Equal scores rank by vec_id. Repeated rows are
+candidates of their own, but a row with the query's vec_id is never its neighbour; each row of a
+repeated query id is a query with its own vector and its own ranks. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -131,6 +134,7 @@ def probes_needed(router: Router, x: np.ndarray, near: np.ndarray, share: float)
 
 def fit(sample: np.ndarray, parts: int, share: float, seed: int = 29, graph: int = 20) -> tuple[Router, int]:
     rng = np.random.default_rng(seed)
+    parts = min(parts, len(sample) // 8)
     if parts < 2 or len(sample) <= graph:
         d = sample.shape[1] if sample.ndim == 2 else 0
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1
@@ -139,14 +143,31 @@ def fit(sample: np.ndarray, parts: int, share: float, seed: int = 29, graph: int
     return router, min(parts, probes_needed(router, sample, near, share))
 
 
-def search(rows: DataFrame, k: int = 20, every: int = 20, share: float = 0.97, part_rows: int = 4096, most_parts: int = 64, sample: int = 8192, block: int = 8192) -> DataFrame:
+def nearest(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, scores) of each query's k rows of largest inner product; ids in ascending order."""
+    out = []
+    scores = queries @ x.T
+    for query, mine, row in zip(queries, own, scores):
+        row[ids == mine] = -np.inf
+        top = min(k, len(row))
+        least = np.partition(row, len(row) - top)[len(row) - top]
+        best = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & (row > -np.inf))
+        # once more by one product at a time: equal vectors get equal scores
+        exact = (x[best] * query).sum(1)
+        order = np.lexsort((ids[best], -exact))[:k]
+        out.append((ids[best][order], exact[order]))
+    return out
+
+
+def search(rows: DataFrame, k: int = 20, every: int = 20, share: float = 0.95, part_rows: int = 4096, least_parts: int = 8, most_parts: int = 256, sample: int = 8192, block: int = 8192, queries: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id ``every`` divides."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "partitions")
     vectors, dim = read_vectors(rows)
-    points = scratch.save(vectors.where("x is not null and vec_id is not null"), "points")
+    points = vectors.where("x is not null and vec_id is not null").withColumn("row", F.monotonically_increasing_id())
+    points = scratch.save(points, "points")
     total = points.count()
-    parts = int(min(most_parts, 2 ** round(np.log2(max(1, total / part_rows)))))
+    parts = int(min(most_parts, max(least_parts, 2 ** round(np.log2(max(1, total / part_rows))))))
     router, probes = fit(hash_sample(points, "vec_id", total, sample, dim), parts, share)
     shared = spark.sparkContext.broadcast(router)
     kinds = points.schema["x"].dataType.simpleString()
@@ -158,20 +179,24 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, share: float = 0.97, p
                     continue
                 order = shared.value.order(matrix(col(b, "x"), dim))[:, :top]
                 rows = pa.array(np.repeat(np.arange(b.num_rows), order.shape[1]))
-                yield pa.record_batch([col(b, "vec_id").take(rows), col(b, "x").take(rows), pa.array(order.ravel().astype(np.int32))], ["vec_id", "x", "part"])
+                yield pa.record_batch([*(col(b, c).take(rows) for c in ("row", "vec_id", "x")), pa.array(order.ravel().astype(np.int32))], ["row", "vec_id", "x", "part"])
 
         return run
 
-    schema = f"vec_id long, x {kinds}, part int"
-    index = points.mapInArrow(assign(1), schema)
-    index = scratch.save(index, "index")
-    # a part is searched in as many blocks as its rows need; a query visits all blocks of its parts
-    sizes = index.groupBy("part").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).select("part", "blocks")
-    sizes = scratch.save(sizes, "sizes")
-    small = F.broadcast(sizes)  # at most ``most_parts`` rows
-    stored = index.join(small, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = points.where(F.col("vec_id") % every == 0).mapInArrow(assign(probes), schema).join(small, "part")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        """How many blocks each part has; at most ``most_parts`` rows."""
+        return scratch.save(df.groupBy("part").count().select("part", F.ceil(F.col("count") / size).cast("int").alias(name)), name)
+
+    schema = f"row long, vec_id long, x {kinds}, part int"
+    stored = scratch.save(points.mapInArrow(assign(1), schema), "index")
+    asked = scratch.save(points.where(F.col("vec_id") % every == 0).mapInArrow(assign(probes), schema), "asked")
+    sizes = blocks(stored, block, "blocks").join(F.broadcast(blocks(asked, queries, "groups")), "part")
+    sizes = F.broadcast(scratch.save(sizes, "sizes"))
+    # every block of a part's rows meets every block of its queries
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    stored = stored.join(sizes, "part").withColumn("block", one("blocks")).withColumn("group", each("groups"))
+    asked = asked.join(sizes, "part").withColumn("group", one("groups")).withColumn("block", each("blocks"))
 
     def local(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -180,19 +205,13 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, share: float = 0.97, p
             ids, x = c["vec_id"].to_numpy(), np.stack(c["x"].to_numpy()).astype(float)
             for at in range(0, len(q), 512):
                 part = q.iloc[at : at + 512]
-                s = np.stack(part["x"].to_numpy()).astype(float) @ x.T
-                for query, row in zip(part["vec_id"].to_numpy(), s):
-                    row[ids == query] = -np.inf
-                    top = min(k, len(row))
-                    least = np.partition(row, len(row) - top)[len(row) - top]
-                    best = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & (row > -np.inf))
-                    # once more by one product at a time: equal vectors get equal scores
-                    exact = (x[best] * np.asarray(part["x"].to_numpy()[(part["vec_id"] == query).to_numpy().argmax()], float)).sum(1)
-                    order = np.lexsort((ids[best], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best][order], "score": exact[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    keys = ["part", "block"]
-    found = asked.select("part", "block", "vec_id", "x").groupBy(*keys).cogroup(stored.select("part", "block", "vec_id", "x").groupBy(*keys)).applyInPandas(local, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                found = nearest(x, ids, np.stack(part["x"].to_numpy()).astype(float), part["vec_id"].to_numpy(), k)
+                n = [len(i) for i, _ in found]
+                out.append(pd.DataFrame({"row": np.repeat(part["row"].to_numpy(), n), "query_id": np.repeat(part["vec_id"].to_numpy(), n), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])}))
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
+
+    keys = ["part", "block", "group"]
+    left, right = (df.select(*keys, "row", "vec_id", "x").groupBy(*keys) for df in (asked, stored))
+    found = left.cogroup(right).applyInPandas(local, "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
