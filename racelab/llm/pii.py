@@ -2,8 +2,9 @@
 
 The patterns find base spans in linear time. The CRF then labels *units* (number-like runs and
 tokens with ``@``): neighbouring units form a chain, and units of a document with the same digits or
-the same lower-cased text, however distant, are joined by skip edges. Weights are fitted by
-pseudo-likelihood on a bounded sample whose labels are the base spans. Loopy message passing with
+the same lower-cased text, however distant, are joined by skip edges. All weights, those of the skip
+edges too, are fitted by pseudo-likelihood on a bounded sample: its labels are the base spans, and
+some of them are repeated in the sample's texts in other spellings. Loopy message passing with
 base units held fixed carries an entity's label to its other spellings (a phone number without its
 ``+``, a card number with dots), which become further spans; base spans always stay.
 
@@ -200,12 +201,51 @@ class SkipChain:
         return p / p.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], steps: int = 120, l2: float = 1e-3) -> SkipChain:
-    """Pseudo-likelihood on base labels; a plus sign is hidden from every second unit, and units that
-    only look like a base unit of their document are left out, as their label isn't known."""
+def respelled(kind: str, word: str, way: int) -> str | None:
+    """Another spelling of a phone or card number, one of a few ways, that no pattern knows."""
+    d = re.sub(r"[^0-9]", "", word)
+    if kind == "phone":
+        return [f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}.{d[-7:-4]}.{d[-4:]}", f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}", d][way % 4] if 10 <= len(d) < 13 else d
+    return ".".join(re.findall("[0-9]{1,4}", d)) if kind == "card" else None
+
+
+def taught(text: str, turn: int = 0) -> Units:
+    """The units of a text, base ones labelled. At its end its phone and card numbers stand once more
+    in other spellings, with their label, and after each a number of the same shape but of other
+    digits, which is nobody's: only the skip edge tells the two apart. A token with ``@`` that is no
+    address is nobody's either."""
+    base = base_spans(text)
+    known: dict[int, int] = {}
+    for k, kind in enumerate(KINDS):
+        for s, e in base[kind][:3]:
+            word = respelled(kind, text[s:e], turn + len(known))
+            if kind == "email":
+                pairs = [(0, text[s:e].partition("@")[0] + "@" + text[s:e].partition("@")[2].partition(".")[0])]
+            elif word:
+                other = "".join(str((int(c) + 3 + 4 * (i % 2)) % 10) if c.isdigit() else c for i, c in enumerate(word))
+                pairs = [(k + 1, word), (0, other)]
+            else:
+                pairs = []
+            for label, w in pairs:
+                text += f" .{' ' * 64}{'w' * (1 + (turn + 7 * len(known)) % 31)} "  # no chain edge; any word before
+                known[len(text) + (w[0] == "(")] = label
+                text += w
+    text += " ."
+    again = base_spans(text)
+    u = units(text, {kind: [x for x in again[kind] if not {x[0], x[0] + 1} & set(known)] for kind in KINDS})
+    for i, (s, _) in enumerate(u.spans):
+        if s in known:
+            u.label[i], u.base[i] = known[s], True
+    return u
+
+
+def fit(texts: list[str], steps: int = 300, l2: float = 1e-4) -> SkipChain:
+    """Pseudo-likelihood on base labels and their taught repeats; a plus sign is hidden from every
+    second unit, and other units that only look like a base unit of their document are left out, as
+    their label isn't known."""
     feats, label, use, left, right, skip = [], [], [], [], [], []
-    for text in texts:
-        u = units(text, base_spans(text))
+    for turn, text in enumerate(texts):
+        u = taught(text, turn)
         at = len(label)
         n = len(u.spans)
         near = [u.spans[i + 1][0] - u.spans[i][1] <= 60 for i in range(n - 1)]
@@ -248,14 +288,16 @@ def fit(texts: list[str], steps: int = 120, l2: float = 1e-3) -> SkipChain:
             m[j], v[j] = 0.9 * m[j] + 0.1 * grad, 0.99 * v[j] + 0.01 * grad**2
             par[j] = par[j] + 0.1 * (m[j] / (1 - 0.9**it)) / (np.sqrt(v[j] / (1 - 0.99**it)) + 1e-8)
         par[0][_FEATURES] = 0
-    # equal units attract at least this much even if the sample holds few repeats
-    return SkipChain(par[0][:_FEATURES], par[1], (par[2] + par[2].T) / 2 + np.eye(5) * 8.0)
+    return SkipChain(par[0][:_FEATURES], par[1], (par[2] + par[2].T) / 2)
 
 
 def train(docs: DataFrame, rows: int = 4000) -> SkipChain:
-    """Fit on at most ``rows`` documents that hold a digit or ``@``, chosen by a hash of the id."""
+    """Fit on about ``rows`` documents that hold a digit or ``@`` (never above twice that), chosen by
+    a hash of the row: no more than these reach the driver, whatever the number of tasks."""
     own = only(docs, doc_id="long", text="string").where(F.col("text").rlike("[0-9@]"))
-    return fit([r.text for r in own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text").collect()])
+    share = min(1.0, rows / max(1, own.count()))
+    picked = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    return fit(sorted(r.text for r in picked.select("text").limit(2 * rows).collect()))
 
 
 def find(text: str, model: SkipChain, least: float = 0.8) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
