@@ -31,9 +31,10 @@ _LETTER: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
+    """Of every character: 2 a letter, 1 a mark (part of a word, but no letter), 0 neither."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        _LETTER = np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(sys.maxunicode + 1)), np.int8, sys.maxunicode + 1)
     return _LETTER
 
 
@@ -41,9 +42,9 @@ def counts(text: str, dim: int = DIM) -> np.ndarray | None:
     """Hashed 1- to 3-gram counts of the whole text; None without a letter."""
     x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[x]
-    if not letter.any():
+    if not (letter == 2).any():
         return None
-    x = np.where(letter, x, np.uint32(32))
+    x = np.where(letter > 0, x, np.uint32(32))
     x = np.concatenate([[np.uint32(32)], x, [np.uint32(32)]]).astype(np.uint64)
     keep = (x[1:] != 32) | (x[:-1] != 32)  # one space between words
     x = x[np.append(True, keep)]

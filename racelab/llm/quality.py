@@ -1,8 +1,8 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages (runs of ``passage`` words; the whole text is covered). Each passage
-is described by character and word shares and a hashed bag of its word shapes, encoded by one
-learned layer, weighted by gated attention (tanh and sigmoid gates, softmax over the passages) and
+is described by character and word shares and a hashed bag of its words (``_WORDS`` buckets, signed,
+roots of the counts), encoded by one learned layer, weighted by gated attention (tanh and sigmoid gates, softmax over the passages) and
 the weighted passage representation is scored by a logistic layer. All layers are fitted together
 from document labels on a bounded sample, by Adam.
 
@@ -23,7 +23,9 @@ from .common import WordHasher, col, only, strings
 from .sample import labelled_texts
 
 _KINDS = 8  # lower, upper, digit, space, newline, stop and pause marks, other marks, beyond ASCII
-_DIM = 24
+_SHARES = 24
+_WORDS = 128
+_DIM = _SHARES + _WORDS
 
 
 def _class_table() -> np.ndarray:
@@ -39,7 +41,7 @@ def _class_table() -> np.ndarray:
 
 
 class Passages:
-    """Texts to passage descriptions, (passages, _DIM) each; one pass over the bytes."""
+    """Texts to passage descriptions, (passages, _DIM) each."""
 
     def __init__(self, passage: int = 64):
         self.passage = passage
@@ -93,6 +95,10 @@ class Passages:
         for j, kind in enumerate((0, 1, 5, 6)):
             out[:, 19 + j] = np.bincount(of, tail == kind, k) / count
         out[:, 23] = 1.0
+        at = (words & np.uint64(_WORDS - 1)).astype(np.int64)
+        sign = np.where(words >> np.uint64(63), 1.0, -1.0)
+        bag = np.bincount(of * _WORDS + at, sign, k * _WORDS).reshape(k, _WORDS)
+        out[:, _SHARES:] = np.sign(bag) * np.sqrt(np.abs(bag)) / 8
         return out
 
 

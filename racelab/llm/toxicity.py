@@ -3,7 +3,8 @@
 Fit (on a bounded sample of labelled rows). Token features: the word and its first 4, 5 and 6
 letters, kept if they are much likelier in toxic documents; tokens of toxic documents that carry
 such evidence are the positive token labels. The CRF's weights are fitted by the gradient of the
-conditional likelihood on windows of tokens (forward-backward, all windows at once), and a logistic
+conditional likelihood on windows of tokens around all evidence of the sample (forward-backward, a
+batch of windows at once), and a logistic
 layer maps summed and largest marginals to a document score.
 
 Scoring. A token without evidence has one constant potential, so a run of such tokens acts as a
@@ -109,13 +110,22 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _fit_crf(xs: np.ndarray, ys: np.ndarray, mask: np.ndarray, n: int, steps: int, l2: float) -> tuple[np.ndarray, float, np.ndarray]:
-    """Adam on the mean conditional log-likelihood; xs: feature ids (N, T, F), n for none."""
+def _fit_crf(xs: np.ndarray, ys: np.ndarray, mask: np.ndarray, n: int, steps: int, l2: float, batch: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Adam on the mean conditional log-likelihood; xs: feature ids (N, T, F), n for none. Each step
+    takes the next ``batch`` windows of a random order; at least every window is taken once."""
     w, bias, trans = np.zeros(n + 1), -2.0, np.zeros((2, 2))
     theta = np.concatenate([w, [bias], trans.ravel()])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    rows, length = ys.shape
-    for it in range(1, steps + 1):
+    every = xs, ys, mask
+    order, rng = np.random.default_rng(6).permutation(len(ys)), np.random.default_rng(7)
+    size = min(batch, len(ys))
+    for it in range(1, max(steps, -(-len(ys) // size)) + 1):
+        if size < len(ys):
+            if len(order) < size:
+                order = np.append(order, rng.permutation(len(ys)))
+            pick, order = order[:size], order[size:]
+            xs, ys, mask = (v[pick] for v in every)
+        rows, length = ys.shape
         w, bias, trans = theta[: n + 1], theta[n + 1], theta[n + 2 :].reshape(2, 2)
         unary = np.zeros((rows, length, 2))
         unary[..., 1] = w[xs].sum(-1) + bias
@@ -145,7 +155,7 @@ def _fit_crf(xs: np.ndarray, ys: np.ndarray, mask: np.ndarray, n: int, steps: in
     return theta[: n + 1], float(theta[n + 1]), theta[n + 2 :].reshape(2, 2)
 
 
-def fit(rows: list[tuple[int, str, int]], window: int = 12, steps: int = 120, l2: float = 1e-4, min_docs: int = 3, windows: int = 12_000) -> ToxicModel:
+def fit(rows: list[tuple[int, str, int]], window: int = 12, steps: int = 120, l2: float = 1e-4, min_docs: int = 3, batch: int = 12_000) -> ToxicModel:
     """A model from (doc_id, text, toxic) rows."""
     bad = sum(y for *_, y in rows)
     if not bad or bad == len(rows):
@@ -181,7 +191,12 @@ def fit(rows: list[tuple[int, str, int]], window: int = 12, steps: int = 120, l2
     rng = np.random.default_rng(5)
     for words, y in tokens:
         at = [i for i, w in enumerate(words) if ids(w)]
-        starts = {max(0, i - window // 2) for i in at[:50]} | ({int(rng.integers(len(words)))} if words else set())
+        starts = {int(rng.integers(len(words)))} if words else set()
+        after = -1  # windows around all evidence; evidence that stands in the last one needs no other
+        for i in at:
+            if i >= after:
+                starts.add(max(0, i - window // 2))
+                after = max(0, i - window // 2) + window
         for s in starts:
             part = words[s : s + window]
             pad = window - len(part)
@@ -189,10 +204,7 @@ def fit(rows: list[tuple[int, str, int]], window: int = 12, steps: int = 120, l2
             xs.append(feats)
             ys.append([int(y and bool(ids(w))) for w in part] + [0] * pad)
             mask.append([True] * len(part) + [False] * pad)
-    if len(xs) > windows:
-        keep = rng.permutation(len(xs))[:windows]
-        xs, ys, mask = [xs[i] for i in keep], [ys[i] for i in keep], [mask[i] for i in keep]
-    w, bias, trans = _fit_crf(np.array(xs), np.array(ys), np.array(mask), n, steps, l2)
+    w, bias, trans = _fit_crf(np.array(xs), np.array(ys), np.array(mask), n, steps, l2, batch)
     model = ToxicModel({f: float(w[i]) for f, i in index.items()}, bias, trans)
     sums, tops, label = [], [], []
     for words, y in tokens:
