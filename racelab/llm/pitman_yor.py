@@ -1,9 +1,10 @@
 """Language-model scores by a hierarchical Pitman-Yor process with Gibbs-sampled seating.
 
-Model. Every frequent word (a bounded list: share at least ``share`` of the tokens of some block of
-text, the ``contexts`` most frequent of these) is a context with a restaurant of its own; all of
-them share one parent, the restaurant without context, whose base is uniform over the training
-words and one unknown word. Tokens after any other word are customers of the parent directly. The
+Model. Every token is seated in the restaurant of the word before it. Frequent words (share at least
+``share`` of the tokens of some block of text, the ``contexts`` most frequent of these) have a
+restaurant of their own; all other words share ``shared`` restaurants, each by a hash, so that no
+context is left out and what tasks share stays bounded. All restaurants have one parent, the
+restaurant without context, whose base is uniform over the training words and one unknown word. The
 first customer of a table is a customer of the parent.
 
 Work. One shuffle deals (word, context, document) entries by word, so that a word's counts in all
@@ -78,12 +79,17 @@ class Plan:
     """What all tasks know: contexts and hot words (both bounded) and the number of buckets."""
 
     contexts: np.ndarray  # sorted hashes; context ids are positions + 1, 0 is none
+    shared: int  # restaurants that all other words share, numbered after these
     hot: np.ndarray  # sorted hashes; hot ids are positions + 1
     buckets: int
 
     def context_ids(self, words: np.ndarray) -> np.ndarray:
         """Of the token before each; the first token follows the end of nothing."""
-        return _lookup(self.contexts, np.append(_END, words[:-1]))
+        before = np.append(_END, words[:-1])
+        own = _lookup(self.contexts, before)
+        if not self.shared:
+            return own
+        return np.where(own > 0, own, 1 + len(self.contexts) + (mix64(before) % np.uint64(self.shared)).astype(np.int64))
 
 
 def _lookup(table: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -411,7 +417,7 @@ def _collect_scores(rows: DataFrame, tokens_n: int, words: int) -> DataFrame:
 # ------------------------------------------------------------------- operator
 
 
-def score(docs: DataFrame, parts: int = 7, held: int = 2, contexts: int = 2000, share: float = 1 / 4000, sweeps: int = 3, samples: int = 2, theta: float = 1.0, bucket_tokens: int = 3_000_000, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, parts: int = 7, held: int = 2, contexts: int = 2000, shared: int = 60_000, share: float = 1 / 4000, sweeps: int = 3, samples: int = 2, theta: float = 1.0, bucket_tokens: int = 3_000_000, seed: int = 11) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pitman-yor")
@@ -422,8 +428,8 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, contexts: int = 2000,
     buckets = max(4, -(-total * 7 // (6 * bucket_tokens)))
     names = np.sort(np.array([r.word for r in often] or [], np.int64).view(np.uint64))
     hot = np.sort(np.array([r.word for r in often if r.n * 8 * buckets >= total], np.int64).view(np.uint64))
-    plan = spark.sparkContext.broadcast(Plan(names, hot, buckets))
-    k, h = len(names), len(hot)
+    plan = spark.sparkContext.broadcast(Plan(names, shared, hot, buckets))
+    k, h = len(names) + shared, len(hot)  # context ids take two bytes
 
     dealt = _deal(docs, plan, parts, held)
     dealt = scratch.save(dealt.where("bucket < 0").select("block", "size", "keys", "rest"), "documents"), dealt.where("bucket >= 0")

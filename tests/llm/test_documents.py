@@ -284,12 +284,26 @@ def test_language_model_probabilities_sum_to_one(spark):
     train = [(i, t) for i, t in zip((k for k in range(200) if fold(k, 7) != 2), known)]
     probe = [k for k in range(200, 400) if fold(k, 7) == 2][:4]
     rows = train + list(zip(probe, ["red", "green", "blue", "unseen"]))
-    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), contexts=0).collect()}
-    end = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame([*train, (probe[0], "")], "doc_id long, text string"), contexts=0).collect()}[probe[0]]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), contexts=0, shared=0).collect()}
+    end = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame([*train, (probe[0], "")], "doc_id long, text string"), contexts=0, shared=0).collect()}[probe[0]]
     total = sum(10 ** (got[k] - end) for k in probe) + 10**end
     assert abs(total - 1) < 1e-6
 
 
+def test_language_model_knows_what_follows_rare_words(spark):
+    """A pair of words that training has seen, both rare, scores better than the pair turned round."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    pairs = [(word(), word()) for _ in range(150)]
+    train = [k for k in range(1000) if fold(k, 7) != 2]
+    held = [k for k in range(5000, 9000) if fold(k, 7) == 2]
+    rows = [(train[k], f"{a} {b}") for k, (a, b) in enumerate(pairs)] + [(train[200 + k], f"{b} {a} x") for k, (a, b) in enumerate(pairs[:5])]
+    probe = [(held[2 * k + j], " ".join(p)) for k, (a, b) in enumerate(pairs[5:]) for j, p in enumerate(((a, b), (b, a)))]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows + probe, "doc_id long, text string"), contexts=3).collect()}
+    better = [got[probe[2 * k][0]] - got[probe[2 * k + 1][0]] for k in range(len(probe) // 2)]
+    assert np.mean(np.array(better) > 1.0) > 0.95
+
+
 def test_seating_counts(spark):
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 5000])
