@@ -31,3 +31,13 @@ def test_stages_take_nulls_and_empty_tables(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, spark.createDataFrame(rows, schema), SF)
             assert out.count() <= max(len(rows), 0), name
+
+
+def test_near_duplicates_of_rows_with_one_id(spark):
+    """Rows of one id are judged by their own texts; extra columns and long texts pass through."""
+    text = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    rows = [(3, text[0], "x", 1), (5, text[1], "x", 2), (5, text[0], "x", 3), (6, text[2], None, 4), (6, text[2], None, 4), (7, text[3] * 3000, "y", 5), (8, None, "y", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, node int")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.node) for r in out.collect()) == [(3, 1), (5, 2), (6, 4), (7, 5), (8, 6)]
