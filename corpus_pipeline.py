@@ -28,10 +28,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each component; a repeated row stays once."""
+    """The document of the smallest id stays of each component; a repeated row stays once. Another
+    text under a kept id stays only if it is not a copy of a smaller id itself."""
     groups = jaccard_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = groups.select(F.struct("doc_id", "text_key").alias("_kept")).distinct()
+    own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"))
+    return docs.join(kept, own.eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
