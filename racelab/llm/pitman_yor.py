@@ -417,7 +417,7 @@ def _collect_scores(rows: DataFrame, tokens_n: int, words: int) -> DataFrame:
 # ------------------------------------------------------------------- operator
 
 
-def score(docs: DataFrame, parts: int = 7, held: int = 2, contexts: int = 2000, shared: int = 60_000, share: float = 1 / 4000, sweeps: int = 3, samples: int = 2, theta: float = 1.0, bucket_tokens: int = 3_000_000, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, parts: int = 7, held: int = 2, contexts: int = 2000, shared: int = 60_000, share: float = 1 / 4000, sweeps: int = 3, samples: int = 2, theta: float = 1.0, bucket_tokens: int = 2_000_000, seed: int = 11) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pitman-yor")
