@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, features, ledgers, models
+from . import evaluation, features, ledgers, models, validation
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (features, evaluation, ledgers, models):
+for _module in (features, evaluation, ledgers, models, validation):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -10,11 +10,8 @@ import pytest
 from racelab.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = [
-    "ev_threshold_sweep", "market_context", "race_certainty", "certainty_quantiles", "horse_history", "jockey_trainer_history", "recent_form_3_5", "field_interactions", "kelly_stakes",
-    "ev_bands", "temperature_fit", "policy_sweep", "stable_longshot_sweep", "walk_forward_folds", "forward_ev_selection", "asof_odds", "pl_trifecta_trio", "triple_negatives",
-    "paired_bootstrap", "drawdown", "losing_streaks", "settlement", "incremental_merge", "intake_checks",
-]
+#: Every query that has SQL.
+SAMPLE = sorted(registry.ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
