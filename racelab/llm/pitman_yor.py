@@ -301,10 +301,12 @@ def _sweep(pairs: DataFrame, state, seed: int, first: bool, contexts: int, hots:
                 twos += int((n[own] == 2).sum())
                 root_ones += int((customers[cold] == 1).sum())
                 root_twos += int((customers[cold] == 2).sum())
-        rows = [("c", i, a, b) for i, (a, b) in enumerate(zip(c, t)) if a or b]
-        rows += [("h", i, a, b) for i, (a, b) in enumerate(zip(hot_n, hot_c)) if i and (a or b)]
-        rows += [("w", 0, float(words), 0.0), ("d", 1, float(ones), float(twos)), ("d", 0, float(root_ones), float(root_twos))]
-        yield pa.record_batch([pa.array(x) for x in zip(*rows)], ["kind", "id", "a", "b"])
+        hot_n[0] = hot_c[0] = 0
+        few = ("w", np.array([0]), np.array([float(words)]), np.array([0.0])), ("d", np.array([1, 0]), np.array([ones, root_ones], float), np.array([twos, root_twos], float))
+        for kind, at, x, y in (("c", np.flatnonzero((c != 0) | (t != 0)), c, t), ("h", np.flatnonzero((hot_n != 0) | (hot_c != 0)), hot_n, hot_c), *few):
+            if kind in "ch":
+                x, y = x[at], y[at]
+            yield pa.record_batch([pa.array([kind] * len(at), pa.string()), pa.array(at), pa.array(x), pa.array(y)], ["kind", "id", "a", "b"])
 
     return pairs.mapInArrow(run, "kind string, id long, a double, b double").groupBy("kind", "id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
