@@ -41,3 +41,24 @@ def roi_interval(races: DataFrame, number: str, count: int = 5000, least: int =
     status = F.when(few, "insufficient_race_clusters").when(none, "unavailable").otherwise("available")
     bounds = [F.when(~few & ~none, F.col(c)).alias(c) for c in ("low", "high", "positive")]
     return got.select(status.alias("status"), F.when(few | none, F.lit(count).cast("long")).otherwise(F.col("n")).alias("replicates"), *bounds, "clusters")
+
+
+def delta_intervals(races: DataFrame, number: str, ratios: dict[str, tuple[str, str | None]], count: int = 1000) -> DataFrame:
+    """For each named ratio (weighted sum of a column over that of another, or over the races): its
+    observed value, the 5 % and 95 % quantiles over all replicates, and how often it is below zero.
+    One row a name; the replicates of all names come from one aggregation."""
+    sums = sorted({c for pair in ratios.values() for c in pair if c})
+    reps = replicates(races, number, sums, count)
+    whole = races.agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("weight"))
+    both = reps.select("replicate", *sums, "weight").unionByName(whole.select(F.lit(-1).cast("long").alias("replicate"), *sums, "weight"))
+    value = lambda pair: F.col(pair[0]) / F.nullif(F.col(pair[1] or "weight").cast("double"), F.lit(0.0))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), value(pair).alias("delta")) for name, pair in ratios.items()]))
+    rows = both.select("replicate", each.alias("m")).select("replicate", "m.*")
+    drawn = F.when(F.col("replicate") >= 0, F.col("delta"))
+    return rows.groupBy("metric").agg(
+        F.max(F.when(F.col("replicate") < 0, F.col("delta"))).alias("observed"),
+        F.percentile(drawn, F.lit(0.05)).alias("low"),
+        F.percentile(drawn, F.lit(0.95)).alias("high"),
+        F.avg((drawn < 0).cast("double")).alias("below_zero"),
+        F.count(drawn).alias("replicates"),
+    )

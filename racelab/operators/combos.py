@@ -38,3 +38,34 @@ def triples(df: DataFrame, columns: list[str]) -> DataFrame:
     side = lambda t: df.select("race_id", F.col("post_position").alias(f"{t}_post"), *[F.col(c).alias(f"{t}_{c}") for c in columns])
     ab = side("a").join(side("b"), "race_id").where("a_post < b_post")
     return ab.join(side("c"), "race_id").where("b_post < c_post")
+
+
+def role_aware(df: DataFrame, q: str, market: str, longshot: float = 6.0) -> DataFrame:
+    """The winner by the market, second and third by top-three strengths of ``q``.
+
+    One row for each race whose places 1, 2, 3 have one runner each: the probability of the realised
+    order and set, that of the order inside the set by the market alone, and whether a long shot is in it.
+    """
+    rows = df.withColumns({"_s": strength(F.col(q)), "_w": F.greatest(F.col(market), F.lit(1e-12))})
+    at = lambda c, k: F.max(F.when(F.col("finish_position") == k, F.col(c)))
+    places = (1, 2, 3)
+    races = rows.groupBy("race_id").agg(
+        *[at("_s", k).alias(f"s{k}") for k in places],
+        *[at("_w", k).alias(f"w{k}") for k in places],
+        *[F.count_if(F.col("finish_position") == k).alias(f"n{k}") for k in places],
+        F.sum("_s").alias("s"),
+        F.sum("_w").alias("w"),
+        F.max(((F.col("finish_position") <= 3) & (F.col("win_odds") >= longshot)).cast("int")).alias("longshot"),
+    )
+    races = races.where("n1 = 1 AND n2 = 1 AND n3 = 1")
+
+    def order(a: int, b: int, c: int):
+        after = F.col("s") - F.col(f"s{a}")
+        rest = after - F.col(f"s{b}")
+        share = lambda x, of: F.when(of > 0, x / of).otherwise(0.0)
+        return F.col(f"w{a}") / F.col("w") * share(F.col(f"s{b}"), after) * share(F.col(f"s{c}"), rest)
+
+    orders = [order(*(i + 1 for i in o)) for o in _ORDERS]
+    inside = F.col("w1") / (F.col("w1") + F.col("w2") + F.col("w3")) * F.col("w2") / (F.col("w2") + F.col("w3"))
+    bounded = lambda p: F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-300))
+    return races.select("race_id", bounded(orders[0]).alias("trifecta"), bounded(sum(orders[1:], orders[0])).alias("trio"), inside.alias("order_in_set"), "longshot")

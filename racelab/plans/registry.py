@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, features, ledgers, models, validation
+from . import evaluation, evidence, features, ledgers, models, validation
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (features, evaluation, ledgers, models, validation):
+for _module in (features, evaluation, ledgers, models, validation, evidence):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
