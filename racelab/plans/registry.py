@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, evidence, features, ledgers, models, validation
+from . import evaluation, evidence, features, ledgers, models, raw, validation
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (features, evaluation, ledgers, models, validation, evidence):
+for _module in (features, evaluation, ledgers, models, validation, evidence, raw):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -73,10 +73,11 @@ def field(text: Column, start: int, length: int) -> Column:
     return F.nullif(F.trim(raw), F.lit(""))
 
 
-def whole(text: Column, start: int, length: int) -> Column:
-    """Digits only, else null; zero is null."""
+def whole(text: Column, start: int, length: int, zero: bool = False) -> Column:
+    """Digits only, else null; zero is null unless kept."""
     x = field(text, start, length)
-    return F.nullif(F.when(x.rlike("^[0-9]+$"), x.cast("bigint")), F.lit(0).cast("bigint"))
+    n = F.when(x.rlike("^[0-9]+$"), x.try_cast("bigint"))
+    return n if zero else F.nullif(n, F.lit(0).cast("bigint"))
 
 
 def odds_book(records: DataFrame, text: str, first: int, width: int = 8, items: int = 28) -> DataFrame:
