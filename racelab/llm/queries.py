@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, learned_partitions, packing, pii, pitman_yor, quality, toxicity, tree_forest
+from . import bpe, jaccard_join, kd_means, language_id, learned_partitions, packing, pii, pitman_yor, quality, secret_links, spelling, toxicity, tree_forest
 from .common import fold_col
 
 #: Largest numbers of sampled labelled rows that a classifier is fitted on.
@@ -77,5 +77,17 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_pii_skip_chain, op3_toxicity_crf, op4_quality_attention, op5_language_ftrl, op6_tree_forest, op7_jaccard_join, op8_pitman_yor, op9_bpe_transducer, op10_residual_packing)}
-ORACLE_SQL: dict[str, str] = {"op6_tree_forest": tree_forest.ORACLE_SQL, "op7_jaccard_join": jaccard_join.ORACLE_SQL}
+def op11_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.detect(table(spark, sf_dir, "documents"))
+
+
+def op13_kd_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_means.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_pii_skip_chain, op3_toxicity_crf, op4_quality_attention, op5_language_ftrl, op6_tree_forest, op7_jaccard_join, op8_pitman_yor, op9_bpe_transducer, op10_residual_packing, op11_anagram_variants, op12_secret_links, op13_kd_means)}
+ORACLE_SQL: dict[str, str] = {"op6_tree_forest": tree_forest.ORACLE_SQL, "op7_jaccard_join": jaccard_join.ORACLE_SQL, "op11_anagram_variants": spelling.ORACLE_SQL, "op13_kd_means": kd_means.oracle_sql()}
