@@ -51,7 +51,8 @@ def delta_intervals(races: DataFrame, number: str, ratios: dict[str, tuple[str,
     reps = replicates(races, number, sums, count)
     whole = races.agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("weight"))
     both = reps.select("replicate", *sums, "weight").unionByName(whole.select(F.lit(-1).cast("long").alias("replicate"), *sums, "weight"))
-    value = lambda pair: F.col(pair[0]) / F.nullif(F.col(pair[1] or "weight").cast("double"), F.lit(0.0))
+    # rounded: a sum that is zero but for the order of its terms is not below zero
+    value = lambda pair: F.round(F.col(pair[0]) / F.nullif(F.col(pair[1] or "weight").cast("double"), F.lit(0.0)), 12)
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), value(pair).alias("delta")) for name, pair in ratios.items()]))
     rows = both.select("replicate", each.alias("m")).select("replicate", "m.*")
     drawn = F.when(F.col("replicate") >= 0, F.col("delta"))

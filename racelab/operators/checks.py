@@ -60,7 +60,7 @@ def safe_races(starters: DataFrame, post: str = "post_position") -> DataFrame:
 def counts_with_defaults(rows: DataFrame, column: str, known: list[str]) -> DataFrame:
     """How often each known value occurs, 0 where it doesn't, and any other value that does."""
     dim = rows.sparkSession.createDataFrame([(k,) for k in known], f"{column} string")
-    return rows.groupBy(column).agg(F.count("*").alias("rows")).join(F.broadcast(dim), column, "full").select(column, F.coalesce("rows", F.lit(0)).alias("rows"))
+    return rows.select(column, F.lit(1).alias("_k")).unionByName(dim.select(column, F.lit(0).alias("_k"))).groupBy(column).agg(F.sum("_k").cast("long").alias("rows"))
 
 
 def conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -99,10 +99,13 @@ def against_recorded(new: DataFrame, recorded: DataFrame, keys: list[str], value
 def snapshot_faults(rows: DataFrame) -> DataFrame:
     """The rules that a pre-race quote breaks, comma-joined; no row where it breaks none."""
     rules = {
+        "blank_race": blank(F.col("race_id")),
+        "blank_horse": blank(F.col("horse_id")),
         "blank_name": blank(F.col("horse_name")),
+        "blank_source": blank(F.col("source")),
         "bad_odds": F.coalesce((F.col("win_odds") <= 1) | F.isnan("win_odds") | (F.col("win_odds") == float("inf")), F.lit(True)),
         "no_time": F.col("observed_at").isNull() | F.col("post_time").isNull(),
-        "too_late": F.coalesce(F.col("observed_at") >= F.col("post_time"), F.lit(False)),
+        "too_late": F.coalesce(F.col("observed_at") >= F.col("post_time"), F.lit(False)),  # no_time says what is missing
     }
     return rows.withColumn("faults", F.concat_ws(",", *[F.when(rule, name) for name, rule in rules.items()])).where("faults <> ''")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from racelab.operators.checks import blank
+
 
 def single_winner(df: DataFrame, is_winner: Column) -> DataFrame:
     """Rows with their race's number of winners; races without exactly one are quarantined."""
@@ -12,6 +14,27 @@ def single_winner(df: DataFrame, is_winner: Column) -> DataFrame:
     return df.withColumn("winners", n.cast("long")).withColumn("quarantined", F.col("winners") != 1)
 
 
+def multi_runner(df: DataFrame, least: int = 2) -> DataFrame:
+    """Rows of races with at least ``least`` rows: a race that came in part replaces nothing."""
+    n = F.count("*").over(Window.partitionBy("race_id"))
+    return df.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
+
+
+def starters(df: DataFrame) -> DataFrame:
+    """Runners that start: no abnormal code (blank or 0), a post position and a name."""
+    code = F.trim(F.coalesce(F.col("abnormal").cast("string"), F.lit("")))
+    return df.where(code.isin("", "0") & F.col("post_position").isNotNull() & ~blank(F.col("horse_name")))
+
+
+def from_training_start(df: DataFrame, start: str) -> DataFrame:
+    """Rows from a day on; fails if no row is left, when the rows are read."""
+    rows = df.where(F.col("race_date") >= F.lit(start).cast("date"))
+    left = F.broadcast(rows.agg(F.count("*").alias("_left")))
+    message = f"no rows from the start of training {start} on"
+    checked = left.select(F.assert_true(F.col("_left") > 0, message).cast("string").alias("_ok"))
+    return checked.join(rows, F.col("_ok").isNull(), "left").drop("_ok")
+
+
 def after_base(df: DataFrame, base: DataFrame) -> DataFrame:
     """Rows later than the last day of the base: a one-row table, broadcast."""
     last = F.broadcast(base.agg(F.max("race_date").alias("_last")))

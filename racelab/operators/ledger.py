@@ -12,30 +12,48 @@ TOLERANCE = 1e-12
 EVIDENCE = {"pre_race_snapshot": (True, "verified_pre_race_odds"), "final_win_odds": (False, "research_only_final_odds"), "estimated_odds": (False, "research_only_estimated_odds")}
 
 
+def _breaks(rule: Column) -> Column:
+    """A rule that can't be decided is broken."""
+    return F.coalesce(rule, F.lit(True))
+
+
 def link_status(p: str = "p", s: str = "s") -> Column:
-    """The first rule that a prediction (struct ``p``) breaks against the quote ``s`` it claims to use."""
+    """The first rule that a prediction (struct ``p``) breaks against the quote ``s`` it claims to use;
+    a null id, time or price on either side is ``missing_value``."""
     a, b = (lambda c: F.col(f"{p}.{c}")), (lambda c: F.col(f"{s}.{c}"))
+    needed = [a(c) for c in ("race_id", "horse_id", "predicted_at", "odds")] + [b(c) for c in ("race_id", "horse_id", "observed_at", "post_time", "odds")]
+    missing = F.lit(False)
+    for c in needed:
+        missing = missing | c.isNull()
     return (
         F.when(F.col(s).isNull(), "no_snapshot")
-        .when(~a("race_id").eqNullSafe(b("race_id")), "race_mismatch")
-        .when(~a("horse_id").eqNullSafe(b("horse_id")), "horse_mismatch")
+        .when(missing, "missing_value")
+        .when(a("race_id") != b("race_id"), "race_mismatch")
+        .when(a("horse_id") != b("horse_id"), "horse_mismatch")
         .when(a("predicted_at") < b("observed_at"), "before_observation")
         .when(a("predicted_at") >= b("post_time"), "after_post_time")
-        .when(F.abs(a("odds") - b("odds")) > TOLERANCE, "odds_mismatch")
+        .when(_breaks(~(F.abs(a("odds") - b("odds")) <= TOLERANCE)), "odds_mismatch")
         .otherwise("ok")
     )
 
 
+def linked(predictions: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Predictions with the status of their link: a left join by the snapshot that they name."""
+    quote = F.struct(*[c for c in snapshots.columns if c != "snapshot_id"]).alias("_s")
+    got = predictions.select("*", F.struct("race_id", "horse_id", "predicted_at", "odds").alias("_p")).join(snapshots.select("snapshot_id", quote), "snapshot_id", "left")
+    return got.withColumn("status", link_status("_p", "_s")).drop("_p", "_s")
+
+
 def bet_status(bets: DataFrame, evidence: DataFrame) -> DataFrame:
     """Bets against the predictions with evidence that they name: a left join by prediction_id."""
     known = evidence.select("prediction_id", F.struct("race_id", "horse_id", "odds").alias("_e"))
     got = bets.join(known, "prediction_id", "left")
-    same = F.col("race_id").eqNullSafe(F.col("_e.race_id")) & F.col("horse_id").eqNullSafe(F.col("_e.horse_id"))
+    same = ~_breaks((F.col("race_id") != F.col("_e.race_id")) | (F.col("horse_id") != F.col("_e.horse_id")))
     status = (
         F.when(F.col("_e").isNull(), "no_evidence")
-        .when(F.coalesce(F.col("stake") <= 0, F.lit(True)), "bad_stake")
+        .when(_breaks(F.col("stake") <= 0), "bad_stake")
         .when(~same, "identity_mismatch")
-        .when(F.coalesce(F.abs(F.col("odds") - F.col("_e.odds")) > TOLERANCE, F.lit(True)), "odds_mismatch")
+        .when(_breaks(~(F.abs(F.col("odds") - F.col("_e.odds")) <= TOLERANCE)), "odds_mismatch")
         .otherwise("ok")
     )
     return got.withColumn("status", status).drop("_e")
@@ -51,12 +69,12 @@ def settlement_status(new: DataFrame, bets: DataFrame, recorded: DataFrame) -> D
     own = bets.select("bet_id", F.struct("race_id", "horse_id").alias("_b"))
     old = recorded.select("bet_id", F.struct(*values).alias("_o"))
     rows = new.join(own, "bet_id", "left").join(old, "bet_id", "left")
-    bad_win = F.col("won") & (F.coalesce(F.col("odds") <= 1, F.lit(True)) | (F.col("payout") <= 0))
-    bad_value = F.coalesce((F.col("finish_position") <= 0) | (F.col("payout") < 0), F.lit(True)) | bad_win | (~F.col("won") & (F.col("payout") != 0))
+    bad_win = F.col("won") & (_breaks(~(F.col("odds") > 1)) | _breaks(F.col("payout") <= 0))
+    bad_value = F.col("won").isNull() | _breaks(F.col("finish_position") <= 0) | _breaks(F.col("payout") < 0) | bad_win | (~F.col("won") & (F.col("payout") != 0))
     status = (
         F.when(bad_value, "bad_values")
         .when(F.col("_b").isNull(), "no_bet")
-        .when(~F.struct("race_id", "horse_id").eqNullSafe(F.col("_b")), "identity_mismatch")
+        .when(_breaks((F.col("race_id") != F.col("_b.race_id")) | (F.col("horse_id") != F.col("_b.horse_id"))), "identity_mismatch")
         .when(F.col("_o").isNull(), "new")
         .when(F.struct(*values).eqNullSafe(F.col("_o")), "repeated")
         .otherwise("conflict")
@@ -75,11 +93,12 @@ def with_results(rows: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def paper_input_faults(rows: DataFrame) -> DataFrame:
-    """The guards that a prediction breaks, comma-joined; repeated (race, horse) keys by one aggregation."""
+    """The guards that a prediction breaks, comma-joined; repeated (race, horse) keys by one aggregation.
+    Columns: race_id, horse_id, horse_name, model_version, probability, confidence."""
     copies = rows.groupBy("race_id", "horse_id").agg(F.count("*").alias("_n")).where("_n > 1")
     got = rows.join(copies, ["race_id", "horse_id"], "left")
-    outside = lambda c: F.coalesce(~F.col(c).between(0.0, 1.0) | F.isnan(c), F.lit(True))
-    rules = {"probability": outside("probability"), "confidence": outside("confidence"), **{f"blank_{c}": blank(F.col(c)) for c in ("race_id", "horse_id", "horse_name")}, "duplicate": F.col("_n").isNotNull()}
+    outside = lambda c: _breaks(~F.col(c).between(0.0, 1.0) | F.isnan(c))
+    rules = {"probability": outside("probability"), "confidence": outside("confidence"), **{f"blank_{c}": blank(F.col(c)) for c in ("race_id", "horse_id", "horse_name", "model_version")}, "duplicate": F.col("_n").isNotNull()}
     return got.withColumn("faults", F.concat_ws(",", *[F.when(rule, name) for name, rule in rules.items()])).drop("_n").where("faults <> ''")
 
 

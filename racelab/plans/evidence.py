@@ -95,7 +95,7 @@ def _intervals(source: str, number: str, ratios: dict[str, tuple[str, str | None
     sums = sorted({c for p in ratios.values() for c in p if c})
     drawn = ", ".join(f"sum({_WEIGHT} * {c}) AS {c}" for c in sums)
     plain = ", ".join(f"sum({c}) AS {c}" for c in sums)
-    legs = " UNION ALL ".join(f"SELECT '{m}' AS metric, b, {n} / nullif(CAST({k or 'weight'} AS DOUBLE), 0) AS delta FROM reps" for m, (n, k) in ratios.items())
+    legs = " UNION ALL ".join(f"SELECT '{m}' AS metric, b, round({n} / nullif(CAST({k or 'weight'} AS DOUBLE), 0), 12) AS delta FROM reps" for m, (n, k) in ratios.items())
     return f""", src AS (SELECT {number} AS rid, * EXCLUDE ({number}) FROM {source}), reps AS (SELECT b, {drawn}, sum({_WEIGHT}) AS weight FROM src, range(0, 1000) t(b) GROUP BY 1
   UNION ALL SELECT -1, {plain}, count(*) FROM src), m AS ({legs})
 SELECT metric, round(max(delta) FILTER (b < 0), 6) AS observed, round(quantile_cont(delta, 0.05) FILTER (b >= 0), 6) AS low, round(quantile_cont(delta, 0.95) FILTER (b >= 0), 6) AS high,

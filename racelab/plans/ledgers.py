@@ -133,22 +133,23 @@ _W = "((rid * 1103515245 + b * 12345 + (rid % 65521) * (b * 2654435 + 7919)) % 2
 _WEIGHT = "(" + " + ".join(f"({_W} >= {c})::INT" for c in bootstrap._CUTS) + ")"
 
 
-@register(
-    "paired_bootstrap",
-    _sql(
+def _paired_sql(count: int) -> str:
+    return _sql(
         SCORED,
         f""", q AS (SELECT CAST(race_id AS BIGINT) AS rid, sum((market_implied_probability - is_winner) ** 2 - (predicted_win_probability - is_winner) ** 2) AS gain FROM scored GROUP BY 1),
-r AS (SELECT b, sum({_WEIGHT} * gain) AS gain, CAST(sum({_WEIGHT}) AS BIGINT) AS weight FROM q, range(0, 100) t(b) GROUP BY 1)
+r AS (SELECT b, sum({_WEIGHT} * gain) AS gain, CAST(sum({_WEIGHT}) AS BIGINT) AS weight FROM q, range(0, {count}) t(b) GROUP BY 1)
 SELECT count(*) AS replicates, round(avg(CASE WHEN gain > 0 THEN 1.0e0 ELSE 0 END), 9) AS support, round(quantile_cont(gain / weight, 0.05), 7) AS low, round(quantile_cont(gain / weight, 0.95), 7) AS high, (SELECT round(avg(gain), 7) FROM q) AS observed FROM r""",
-    ),
-)
+    )
+
+
+@register("paired_bootstrap", _paired_sql(100))
 def paired_bootstrap(spark, d):
     return _paired(spark, d, 100)
 
 
-@register("paired_bootstrap_1000")
+@register("paired_bootstrap_1000", _paired_sql(1000))
 def paired_bootstrap_1000(spark, d):
-    """The whole job; paired_bootstrap keeps the 100 replicates of its SQL."""
+    """The whole job; paired_bootstrap draws 100 replicates only."""
     return _paired(spark, d, 1000)
 
 
@@ -189,9 +190,19 @@ def roi_bootstrap(spark, d):
     return got.crossJoin(F.broadcast(races.agg(F.count("*").alias("clusters"))))
 
 
-@register("roi_bootstrap_5000")
+@register(
+    "roi_bootstrap_5000",
+    _sql(
+        _BETS,
+        f""", per AS (SELECT rid, sum(stake) AS stake, sum(payout) AS payout FROM bets GROUP BY 1), r AS (SELECT b, sum({_WEIGHT} * stake) AS stake, sum({_WEIGHT} * payout) AS payout FROM per, range(0, 5000) t(b) GROUP BY 1),
+z AS (SELECT payout / nullif(CAST(stake AS DOUBLE), 0) - 1 AS roi FROM r), c AS (SELECT count(*) AS clusters FROM per),
+i AS (SELECT count(roi) AS n, round(quantile_cont(roi, 0.025), 7) AS low, round(quantile_cont(roi, 0.975), 7) AS high, round(avg(CASE WHEN roi > 0 THEN 1.0e0 WHEN roi IS NOT NULL THEN 0 END), 9) AS positive FROM z)
+SELECT CASE WHEN clusters < 20 THEN 'insufficient_race_clusters' WHEN n = 0 THEN 'unavailable' ELSE 'available' END AS status, CASE WHEN clusters < 20 OR n = 0 THEN 5000 ELSE n END AS replicates,
+  CASE WHEN clusters >= 20 THEN low END AS low, CASE WHEN clusters >= 20 THEN high END AS high, CASE WHEN clusters >= 20 THEN positive END AS positive, clusters FROM i, c""",
+    ),
+)
 def roi_bootstrap_5000(spark, d):
-    """The whole job, with a floor of 20 races; roi_bootstrap keeps the 200 replicates of its SQL."""
+    """The whole job, with a floor of 20 races; roi_bootstrap draws 200 replicates only."""
     races = bets(spark, d).groupBy("rid").agg(F.sum("stake").alias("stake"), F.sum("payout").alias("payout"))
     return bootstrap.roi_interval(races, "rid")
 

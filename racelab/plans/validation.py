@@ -122,16 +122,19 @@ def snapshot_conflicts(spark, d):
     return checks.against_recorded(new, old, ["race_id", "post_position"], ["win_odds"]).groupBy("status").agg(F.count("*").alias("rows"))
 
 
-@register("snapshot_faults", _sql(RUNNERS, """, s AS (SELECT race_id, post_position, CASE WHEN age = 2 THEN '' ELSE horse_name END AS horse_name, CASE WHEN age = 3 THEN 1.0e0 ELSE win_odds END AS win_odds,
-  CASE WHEN age <> 4 THEN post_position * 2 END AS seen, field_size AS post FROM runners),
-f AS (SELECT race_id, post_position, concat_ws(',', CASE WHEN horse_name = '' THEN 'blank_name' END, CASE WHEN win_odds <= 1 THEN 'bad_odds' END, CASE WHEN seen IS NULL THEN 'no_time' END, CASE WHEN seen >= post THEN 'too_late' END) AS faults FROM s)
+@register("snapshot_faults", _sql(RUNNERS, """, s AS (SELECT race_id, post_position, CASE WHEN age = 2 THEN ' ' WHEN age <> 7 THEN horse_name END AS horse_name, CASE WHEN age = 3 THEN 1.0e0 WHEN post_position <> 6 THEN win_odds END AS win_odds, CASE WHEN post_position <> 5 THEN race_id || '-' || post_position END AS horse_id,
+  CASE WHEN surface = 'A' AND age = 5 THEN '' ELSE 'feed' END AS source, CASE WHEN age <> 4 THEN post_position * 2 END AS seen, CASE WHEN age <> 6 THEN field_size END AS post FROM runners),
+f AS (SELECT race_id, post_position, concat_ws(',', CASE WHEN trim(coalesce(race_id, '')) = '' THEN 'blank_race' END, CASE WHEN trim(coalesce(horse_id, '')) = '' THEN 'blank_horse' END, CASE WHEN trim(coalesce(horse_name, '')) = '' THEN 'blank_name' END, CASE WHEN trim(coalesce(source, '')) = '' THEN 'blank_source' END,
+  CASE WHEN coalesce(win_odds <= 1 OR isnan(win_odds) OR isinf(win_odds), true) THEN 'bad_odds' END, CASE WHEN seen IS NULL OR post IS NULL THEN 'no_time' END, CASE WHEN coalesce(seen >= post, false) THEN 'too_late' END) AS faults FROM s)
 SELECT * FROM f WHERE faults <> ''"""))
 def snapshot_faults(spark, d):
-    """Blank names (a full-width space is blank), odds, missing and late observation times."""
+    """Blank ids, names (a full-width space is blank) and sources, odds, missing and late times."""
     minutes = lambda c: F.timestamp_seconds(c * 60)
+    age, post = F.col("age"), F.col("post_position")
     rows = runners(spark, d).select(
-        "race_id", "post_position", F.when(F.col("age") == 2, checks.WIDE_SPACE).otherwise(F.col("horse_name")).alias("horse_name"), F.when(F.col("age") == 3, 1.0).otherwise(F.col("win_odds")).alias("win_odds"),
-        F.when(F.col("age") != 4, minutes(F.col("post_position") * 2)).alias("observed_at"), minutes(F.col("field_size")).alias("post_time"),
+        "race_id", "post_position", F.when(post != 5, F.concat_ws("-", "race_id", post.cast("string"))).alias("horse_id"), F.when(age == 2, checks.WIDE_SPACE).when(age != 7, F.col("horse_name")).alias("horse_name"),
+        F.when((F.col("surface") == "A") & (age == 5), "").otherwise("feed").alias("source"), F.when(age == 3, 1.0).when(post != 6, F.col("win_odds")).alias("win_odds"),
+        F.when(age != 4, minutes(post * 2)).alias("observed_at"), F.when(age != 6, minutes(F.col("field_size"))).alias("post_time"),
     )
     return checks.snapshot_faults(rows).select("race_id", "post_position", "faults")
 

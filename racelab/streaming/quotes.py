@@ -1,4 +1,4 @@
-"""Structured Streaming versions of the quote, exposure and reconciliation paths."""
+"""Structured Streaming versions of the quote paths, and appends that may be run again."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
@@ -21,10 +21,39 @@ def valid_quotes(quotes: DataFrame, late: str = "10 minutes") -> DataFrame:
     return good.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(["race_id", "horse_id", "observed_at", "source"])
 
 
-def latest_quotes(quotes: DataFrame) -> DataFrame:
-    """The last quote of each runner so far (update mode): one struct of state for each key."""
-    last = F.max(F.struct("observed_at", "sequence", "odds")).alias("last")
-    return quotes.groupBy("race_id", "horse_id").agg(last).select("race_id", "horse_id", "last.observed_at", "last.odds")
+class LatestQuote(StatefulProcessor):
+    """Of a runner: the last quote by time, then sequence; forgotten once the watermark passes the post."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "observed_us long, sequence long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows))
+        best = got.sort_values(["observed_at", "sequence"], kind="stable").iloc[-1]
+        at = (int(best.observed_at.value // 1000), int(best.sequence))
+        if not self.last.exists() or at > tuple(self.last.get()):
+            self.last.update(at)
+            self.handle.registerTimer(int(best.post_at.value // 1_000_000))
+            yield pd.DataFrame([(*key, best.observed_at, best.odds)], columns=["race_id", "horse_id", "observed_at", "odds"])
+        else:
+            yield pd.DataFrame(columns=["race_id", "horse_id", "observed_at", "odds"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame(columns=["race_id", "horse_id", "observed_at", "odds"])
+
+    def close(self) -> None:
+        """Nothing to close."""
+
+
+def latest_quotes(quotes: DataFrame, kind: str | None = None) -> DataFrame:
+    """Each quote that is its runner's last so far. ``quotes`` has a watermark on observed_at (``valid_quotes``
+    gives it); a runner's state is two numbers and goes after its race's post."""
+    quotes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = kind or dict(quotes.dtypes)["observed_at"]
+    rows = quotes.select("race_id", "horse_id", "observed_at", "post_at", "sequence", "odds")
+    return rows.groupBy("race_id", "horse_id").transformWithStateInPandas(LatestQuote(), f"race_id string, horse_id string, observed_at {kind}, odds double", "Append", "EventTime")
 
 
 def decisions_with_quotes(decisions: DataFrame, quotes: DataFrame, age: str = "10 minutes") -> DataFrame:
@@ -39,50 +68,19 @@ def tumbling_quality(quotes: DataFrame, size: str = "5 minutes", late: str = "10
     return quotes.withWatermark("observed_at", late).groupBy(F.window("observed_at", size)).agg(F.count("*").alias("quotes"), F.avg("odds").alias("mean_odds"))
 
 
-def _exposure(day_limit: int, race_limit: int, least: int):
-    """Greedy caps in arrival order; state: stake so far of the day and of its races."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day_total, names, stakes = state.get if state.exists else (0, [], [])
-        races = dict(zip(names, stakes))
-        out = []
-        for batch in batches:
-            for r in batch.sort_values("sequence").itertuples():
-                want = min(int(r.desired), day_limit - day_total, race_limit - races.get(r.race_id, 0))
-                stake = want if want >= least else 0
-                day_total += stake
-                races[r.race_id] = races.get(r.race_id, 0) + stake
-                out.append((key[0], r.race_id, int(r.sequence), int(r.desired), stake))
-        state.update((day_total, list(races), list(races.values())))
-        if out:
-            yield pd.DataFrame(out, columns=["day", "race_id", "sequence", "desired", "stake"])
-
-    return step
-
-
-def exposure(requests: DataFrame, day_limit: int, race_limit: int, least: int = 100) -> DataFrame:
-    """Stakes under a day's and a race's limit, with state for each day."""
-    schema = "day date, race_id string, sequence long, desired long, stake long"
-    state = "total long, races array<string>, stakes array<long>"
-    return requests.groupBy("day").applyInPandasWithState(_exposure(day_limit, race_limit, least), schema, state, "append", GroupStateTimeout.NoTimeout)
-
-
 def append_new(batch: DataFrame, ledger_path: str, keys: list[str]) -> int:
-    """For foreachBatch: rows whose key the ledger lacks are appended; running it again adds nothing."""
+    """For foreachBatch: rows whose key the ledger lacks are appended; running it again adds nothing. One
+    writer only: ``LedgerTable.append_immutable`` guards against a second one and refuses other values."""
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(keys)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
     if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         fresh = fresh.join(spark.read.parquet(ledger_path).select(*keys), keys, "left_anti")
-    rows = fresh.count()
-    if rows:
-        fresh.write.mode("append").parquet(ledger_path)
-    return rows
-
-
-def reconcile(pending: DataFrame, results: DataFrame) -> DataFrame:
-    """Pending bets with their status: settled, race_pending or runner_missing."""
-    races = results.select("race_id").distinct().withColumn("_race", F.lit(True))
-    rows = pending.join(results, ["race_id", "post_position"], "left").join(races, "race_id", "left")
-    status = F.when(F.col("_race").isNull(), "race_pending").when(F.col("finish_position").isNull(), "runner_missing").otherwise("settled")
-    return rows.withColumn("status", status).drop("_race")
+    fresh = fresh.persist()  # counted and written from one computation
+    try:
+        rows = fresh.count()
+        if rows:
+            fresh.write.mode("append").parquet(ledger_path)
+        return rows
+    finally:
+        fresh.unpersist()
