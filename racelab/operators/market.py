@@ -58,12 +58,14 @@ def race_certainty(df: DataFrame, p: str, out: str) -> DataFrame:
 
 
 def rank_share(column: str, descending: bool = True, of_size: bool = False) -> Column:
-    """Average rank as a share of the ranked rows (or of all rows of the race); null for null."""
+    """Average rank as a share of the ranked rows (or of all rows of the race); null for null. A field is
+    small: ranks are counted in an array of its values, so that all columns share one window and one sort."""
     x = F.col(column)
-    order = race().orderBy(x.desc_nulls_last() if descending else x.asc_nulls_last())
-    same = F.count(x).over(Window.partitionBy("race_id", column))
-    n = F.count("*").over(race()) if of_size else F.count(x).over(race())
-    return F.when(x.isNotNull(), (F.rank().over(order) + (same - 1) / 2) / n)
+    values = F.collect_list(x).over(race())
+    ahead = F.size(F.filter(values, lambda y: y > x if descending else y < x))
+    same = F.size(F.filter(values, lambda y: y == x))
+    n = F.count("*").over(race()) if of_size else F.size(values)
+    return F.when(x.isNotNull(), (ahead + (same + 1) / 2) / n)
 
 
 def field_interactions(df: DataFrame, sources: list[str]) -> DataFrame:

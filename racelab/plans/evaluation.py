@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from racelab.functions import betting
 from racelab.operators import folds, market, quality
-from racelab.sources.tables import SCORED, scored
+from racelab.sources.tables import SCORED, scored, table
 
 from .features import _CERTAINTY, _CONTEXT, _out, _sql
 
@@ -334,9 +334,13 @@ n AS (SELECT max(day) + 1 AS n FROM days), folds AS (
 
 
 def _folds(spark, d):
-    rows = scored(spark, d)
-    days = folds.day_numbers(rows)
-    return rows, days, folds.walk_forward(days, 600, 200, 10)
+    """(scored runners, days, folds). Days and folds are bounded by the calendar: they are read once, from the
+    races alone, and are local tables from then on."""
+    starts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    races = table(spark, d, "orders").join(starts, "o_orderkey", "left_semi").select(F.col("o_orderdate").cast("date").alias("race_date"))
+    days = spark.createDataFrame(folds.day_numbers(races).collect(), "race_date date, day long")
+    plan = folds.walk_forward(days, 600, 200, 10)
+    return scored(spark, d), days, spark.createDataFrame(plan.collect(), plan.schema)
 
 
 @register(

@@ -251,10 +251,11 @@ settled AS (SELECT *, CASE WHEN n IS NULL THEN 'race_missing' WHEN finish_positi
 
 
 def _settled(spark, d) -> DataFrame:
-    results = runners(spark, d).where("surface <> 'N'")
-    races = results.groupBy("race_id").agg(F.count("*").alias("n"))
-    rows = bets(spark, d).join(results.select("race_id", "post_position", "finish_position"), ["race_id", "post_position"], "left").join(races, "race_id", "left")
-    return rows.withColumn("reason", F.when(F.col("n").isNull(), "race_missing").when(F.col("finish_position").isNull(), "runner_missing").otherwise("settleable"))
+    """One join by race: a race's results are a small map from post to finish."""
+    results = runners(spark, d).where("surface <> 'N'").groupBy("race_id").agg(F.map_from_entries(F.collect_list(F.struct("post_position", "finish_position"))).alias("_of"))
+    rows = bets(spark, d).join(results, "race_id", "left").withColumn("finish_position", F.try_element_at("_of", "post_position"))
+    reason = F.when(F.col("_of").isNull(), "race_missing").when(F.col("finish_position").isNull(), "runner_missing").otherwise("settleable")
+    return rows.withColumn("reason", reason).drop("_of")
 
 
 @register("settlement", _sql(_LEDGER, " SELECT rid, post_position, reason, CASE WHEN reason = 'settleable' THEN payout END AS payout FROM settled"))
