@@ -150,7 +150,8 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int, langs: int, a
 def train(docs: DataFrame, per_language: int = 600, dim: int = DIM) -> LanguageModel:
     """Learn from documents outside fold 0 of 5 that have a language.
 
-    ``per_language`` bounds the sampled rows of each language (about; chosen by a hash of the id).
+    ``per_language`` bounds the sampled rows of each language (about, and never above twice that; chosen by a
+    hash of the row, so that rows of one id or of none are not chosen together; the same text of one id is).
     Document frequencies cover all documents of the learning folds.
     """
     own = only(docs, doc_id="long", text="string", lang="string")
@@ -162,7 +163,8 @@ def train(docs: DataFrame, per_language: int = 600, dim: int = DIM) -> LanguageM
     if not langs:
         return LanguageModel([], idf, np.zeros((dim + 1, 0)))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / sizes[k]))])
-    picked = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    picked = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    picked = picked.limit(2 * per_language * len(langs))
     model = LanguageModel(langs, idf, np.zeros((dim + 1, len(langs))))
     fit_rows, held = [], []
     for r in sorted(picked.select("doc_id", "text", "lang").toLocalIterator(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()[::-1]), r.lang, r.text or "")):

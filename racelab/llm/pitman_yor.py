@@ -1,9 +1,9 @@
 """Language-model scores by a hierarchical Pitman-Yor process with Gibbs-sampled seating.
 
-Model. Every token is seated in the restaurant of the word before it. Frequent words (share at least
-``share`` of the tokens of some block of text, the ``contexts`` most frequent of these) have a
+Model. Every token is seated in the restaurant of the word before it. Frequent words (at least ``share``
+of all training tokens, so 1 / ``share`` of them at most, by exact counts over all tasks) have a
 restaurant of their own; all other words share ``shared`` restaurants, each by a hash, so that no
-context is left out and what tasks share stays bounded. All restaurants have one parent, the
+context is left out and what tasks share stays bounded. A score doesn't depend on the partitioning. All restaurants have one parent, the
 restaurant without context, whose base is uniform over the training words and one unknown word. The
 first customer of a table is a customer of the parent.
 
@@ -47,8 +47,9 @@ def tokens(hasher: WordHasher, text: str) -> np.ndarray:
 # --------------------------------------------------------------- frequent words
 
 
-def _frequent(docs: DataFrame, share: float, parts: int, held: int, block: int = 1_000_000) -> DataFrame:
-    """(word, n): training counts of words with the given share of some block; word null: all tokens."""
+def _counts(docs: DataFrame, parts: int, held: int, block: int = 1_000_000) -> DataFrame:
+    """(word, n): training counts of all words, whatever the partitioning; word null: all tokens. Words are
+    counted in blocks of text first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -57,8 +58,8 @@ def _frequent(docs: DataFrame, share: float, parts: int, held: int, block: int =
 
         def flush() -> pa.RecordBatch:
             w, n = np.unique(np.concatenate(kept), return_counts=True)
-            often = n >= share * size
-            return pa.record_batch([pa.array([*w[often].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[often].tolist(), size], pa.int64())], ["word", "n"])
+            none = np.append(np.zeros(len(w), bool), True)
+            return pa.record_batch([pa.array(np.append(w.view(np.int64), 0), pa.int64(), mask=none), pa.array(np.append(n, size).astype(np.int64))], ["word", "n"])
 
         for b in batches:
             for doc_id, text in zip(col(b, "doc_id").to_pylist(), strings(b)):
@@ -261,13 +262,14 @@ def _seating(bucket: int, pairs: tuple[np.ndarray, ...], s: State, seed: int, ro
     for _ in range(rounds):
         customers = np.bincount(word, t, words).astype(np.int64)
         customers = np.where(hot > 0, s.hot_customers[hot], customers)
-        root = seat(customers, np.full(words, below), d0, rng)
+        # hot words are seated once for all tasks: no draw here, so that held-out texts change no other's draw
+        root = seat(np.where(hot > 0, 0, customers), np.full(words, below), d0, rng)
         root = np.where(hot > 0, s.hot_tables[hot], root)
         p0 = (np.maximum(customers - d0 * root, 0) + below) / (s.theta + s.customers[0])
         rate = (s.theta + d1 * s.tables[ctx]) * p0[word]
         t = np.where(own, seat(np.where(own, n, 0), rate, d1, rng), n)
     customers = np.bincount(word, t, words).astype(np.int64)
-    root = seat(customers, np.full(words, below), d0, rng)
+    root = seat(np.where(hot > 0, 0, customers), np.full(words, below), d0, rng)
     return t, customers, root
 
 
@@ -419,14 +421,17 @@ def _collect_scores(rows: DataFrame, tokens_n: int, words: int) -> DataFrame:
 # ------------------------------------------------------------------- operator
 
 
-def score(docs: DataFrame, parts: int = 7, held: int = 2, contexts: int = 2000, shared: int = 60_000, share: float = 1 / 4000, sweeps: int = 3, samples: int = 2, theta: float = 1.0, bucket_tokens: int = 2_000_000, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, parts: int = 7, held: int = 2, contexts: int = 4000, shared: int = 60_000, share: float = 1 / 4000, sweeps: int = 3, samples: int = 2, theta: float = 1.0, bucket_tokens: int = 2_000_000, seed: int = 11) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pitman-yor")
     docs = only(docs, doc_id="long", text="string")
-    found = _frequent(docs, share, parts, held).orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(contexts + 1).collect()
-    total = sum(r.n for r in found if r.word is None)
-    often = [r for r in found if r.word is not None]
+    if contexts + shared >= 1 << 16:
+        raise ValueError("numbers of restaurants take two bytes")
+    counts = scratch.save(_counts(docs, parts, held), "counts")
+    total = sum(r.n for r in counts.where("word is null").collect())
+    often = counts.where(F.col("word").isNotNull() & (F.col("n") >= share * total)).orderBy(F.desc("n"), "word").limit(contexts).collect()
+    scratch.drop(counts)
     buckets = max(4, -(-total * 7 // (6 * bucket_tokens)))
     names = np.sort(np.array([r.word for r in often] or [], np.int64).view(np.uint64))
     hot = np.sort(np.array([r.word for r in often if r.n * 8 * buckets >= total], np.int64).view(np.uint64))

@@ -304,6 +304,46 @@ def test_language_model_knows_what_follows_rare_words(spark):
     assert np.mean(np.array(better) > 1.0) > 0.95
 
 
+def test_every_restaurant_serves_one_distribution(spark):
+    """After three sweeps: probabilities of all words and an unseen one sum to one after each context."""
+    rng = np.random.default_rng(4)
+    words, contexts = 40, 5
+    n = rng.poisson(2.0, (words, contexts)) * (rng.random((words, contexts)) < 0.5)
+    n = np.vstack([n, np.zeros((1, contexts), int)])  # the last word is unseen
+    word, ctx = (x.ravel() for x in np.mgrid[0 : words + 1, 1 : contexts + 1])
+    data = pitman_yor._pack(word.astype("<u4"), ctx.astype("<u2"), n.ravel().astype("<u4"), np.zeros(words + 1, "<u2"))
+    pairs = spark.createDataFrame([(0, len(word), bytearray(data))], "bucket int, size long, data binary")
+    state, chain = None, []
+    for i in range(4):
+        rows = pitman_yor._sweep(pairs, spark.sparkContext.broadcast(state), 5 + i, i == 0, contexts, 0).collect()
+        new = pitman_yor._totals(rows, state, contexts, 0, 1.0, 5 + i)
+        chain += [(state, new, 5 + i)] if i > 1 else []
+        state = new
+    assert state.words == int((n.sum(1) > 0).sum()) and state.customers[1:].sum() == n.sum()
+    unseen = words + 1 - state.words  # words that training lacks share the place of one
+    p = pitman_yor._probabilities(0, pitman_yor._unpack(len(word), data), chain).reshape(words + 1, contexts)
+    assert np.allclose(p[n.sum(1) > 0].sum(0) + p[-1], 1.0, atol=1e-9) and unseen >= 1
+    assert np.allclose(p[n.sum(1) == 0], p[-1])
+
+
+def test_held_out_texts_change_no_other_score(spark):
+    rng = random.Random(9)
+    train = [k for k in range(300) if fold(k, 7) != 2]
+    held = [k for k in range(400, 900) if fold(k, 7) == 2]
+    words = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(rng.choices(words, [30 - k for k in range(30)], k=12))) for i in train] + [(held[0], "w0 w7")]
+    scores = lambda more: {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}[held[0]]
+    assert math.isclose(scores([]), scores([(held[1], "new w0"), (held[2], "w9 other w9")]), rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("settings", [{}, {"share": 1 / 50, "shared": 7}])
+def test_language_model_does_not_depend_on_the_partitioning(spark, settings):
+    docs = q.table(spark, SF, "documents").limit(80)
+    kept = docs.sparkSession.createDataFrame(docs.collect(), docs.schema)
+    one, eight = ({r.doc_id: (r.score, r.base_score) for r in pitman_yor.score(kept.repartition(k, "doc_id"), **settings).collect()} for k in (1, 8))
+    assert one.keys() == eight.keys() and all(math.isclose(a, b, rel_tol=1e-9) for i in one for a, b in zip(one[i], eight[i]))
+
+
 def test_seating_counts(spark):
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 5000])
