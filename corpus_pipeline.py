@@ -28,12 +28,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each component; a repeated row stays once. Another
-    text under a kept id stays only if it is not a copy of a smaller id itself."""
-    groups = jaccard_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.select(F.struct("doc_id", "text_key").alias("_kept")).distinct()
+    """One row of each component stays: that of the smallest id, ids before null, then of the smallest hash
+    of its text. Rows without words stay. Of rows that are equal in id and text one stays, the first by its
+    other columns as JSON."""
+    groups = jaccard_join.join(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_key")).alias("_first")
+    one = groups.where("component_key IS NOT NULL").groupBy("component_key").agg(first).select("_first.doc_id", "_first.text_key")
+    kept = one.unionByName(groups.where("component_key IS NULL").select("doc_id", "text_key")).distinct().select(F.struct("doc_id", "text_key").alias("_kept"))
     own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"))
-    return docs.join(kept, own.eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = docs.join(kept, own.eqNullSafe(kept["_kept"]), "left_semi")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    if len(docs.columns) < 3:
+        return rows.distinct()
+    return rows.groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
