@@ -67,6 +67,15 @@ def plackett_luce(a: Column, b: Column, c: Column, total: Column) -> Column:
     return a / F.greatest(total, tiny) * b / F.greatest(total - a, tiny) * c / F.greatest(total - a - b, tiny)
 
 
+def decide_win(p: Column, odds: Column, confidence: Column, bankroll: Column, min_p: float = 0.1, min_confidence: float = 0.0, min_value: float = 1.15, share: float = 0.25, race_cap: float = 0.05, cap: int = 5000, unit: int = 100, least: int = 100) -> Column:
+    """The whole decision on a win bet: (bet_type, stake, odds, expected_return, edge, reason)."""
+    value = expected_return(p, odds)
+    why = decision_reason(p, confidence, value, min_p, min_confidence, min_value)
+    stake = F.when(why == "eligible", rounded_stake(bankroll, p, odds, share, race_cap, cap, unit, least)).otherwise(F.lit(0)).cast("long")
+    reason = F.when(why != "eligible", why).when(stake > 0, "selected").otherwise("kelly_non_positive_or_below_unit")
+    return F.struct(F.lit("WIN").alias("bet_type"), stake.alias("stake"), odds.alias("odds"), value.alias("expected_return"), edge(p, odds).alias("edge"), reason.alias("reason"))
+
+
 def decision_reason(p: Column, confidence: Column, value: Column, min_p: float, min_confidence: float, min_value: float) -> Column:
     """Why a candidate isn't bet on, by the first rule that fails; comparisons with null don't fail."""
     return (

@@ -1,46 +1,98 @@
-"""Sequential bankroll simulation: one fold for each independent strategy."""
+"""Bankroll simulation: a strategy's bets in order, each staked from what all before left."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass
+class Bankroll:
+    """The state that one strategy carries from bet to bet; a race's bets settle after the race."""
+
+    money: float
+    unit: int
+    share: float
+    race_cap: float
+    cap: int
+    day_cap: float
+    peak: float = 0.0
+    day: object = None
+    day_left: float = 0.0
+    race: object = None
+    race_left: float = 0.0
+    open: list = field(default_factory=list)
+
+    def down(self, value: float) -> int:
+        return math.floor(value / self.unit) * self.unit
+
+    def settle(self) -> list[tuple]:
+        out = []
+        for stake, paid in self.open:
+            self.money += paid - stake
+            self.peak = max(self.peak, self.money)
+            out.append((self.day, self.race, stake, paid, self.money, 1 - self.money / self.peak if self.peak else 0.0))
+        self.open = []
+        return out
+
+    def bet(self, day, race, p: float, odds: float, won: bool) -> list[tuple]:
+        """Take one candidate; the settled bets of the race before, if this one begins a race."""
+        done = []
+        if (day, race) != (self.day, self.race):
+            done = self.settle()
+            self.peak = max(self.peak, self.money)
+            if day != self.day:
+                self.day_left = self.down(self.money * self.day_cap)
+            self.day, self.race = day, race
+            self.race_left = min(self.day_left, self.down(min(self.money * self.race_cap, self.cap)))
+        kelly = max(0.0, min(1.0, (p * odds - 1) / (odds - 1))) if odds > 1 and 0 < p < 1 else 0.0
+        stake = int(min(self.down(self.money * kelly * self.share), self.race_left))
+        if stake >= self.unit:
+            self.race_left -= stake
+            self.day_left -= stake
+            self.open.append((stake, round(stake * odds) if won else 0))
+        return done
+
+
 def simulate(bets: DataFrame, group: str, bankroll: float = 100_000.0, share: float = 0.25, race_cap: float = 0.05, cap: int = 5000, day_cap: float = 0.2, unit: int = 100) -> DataFrame:
-    """Stakes, payouts and drawdown of each strategy's bets in order of day and race.
+    """Stakes, payouts and drawdown of each strategy's bets (``group``) in order of day and race.
 
-    A stake depends on the bankroll left by all races before, so a strategy is a genuine fold; the
-    strategies run side by side. Candidates: (group, race_date, rid, p, win_odds, is_winner); within
-    a race by edge. Bets settle after their race; a day spends at most ``day_cap`` of its start.
+    Candidates: (group, race_date, rid, p, win_odds, is_winner); within a race by edge, then probability. A
+    stake depends on the bankroll left by all races before, so a strategy is a fold: strategies are dealt to
+    tasks, sorted there (Spark spills), and streamed past one ``Bankroll`` each; memory holds a batch and a
+    race. A day spends at most ``day_cap`` of its start.
     """
-    cols = "race_date date, rid long, stake long, payout long, bankroll double, drawdown double"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(edge=rows["p"] * rows["win_odds"] - 1).sort_values(["race_date", "rid", "edge", "p"], ascending=[True, True, False, False], kind="stable")
-        money, peak, day, day_left, out = bankroll, bankroll, None, 0.0, []
-        for (when, rid), race in rows.groupby(["race_date", "rid"], sort=False):
-            if when != day:
-                day, day_left = when, math.floor(money * day_cap / unit) * unit
-            race_left, done = min(day_left, math.floor(min(money * race_cap, cap) / unit) * unit), []
-            for r in race.itertuples():
-                kelly = max(0.0, min(1.0, r.edge / (r.win_odds - 1))) if r.win_odds > 1 and 0 < r.p < 1 else 0.0
-                stake = int(min(math.floor(money * kelly * share / unit) * unit, race_left))
-                if stake >= unit:
-                    race_left -= stake
-                    day_left -= stake
-                    done.append((stake, round(stake * r.win_odds) if r.is_winner == 1 else 0))
-            for stake, paid in done:
-                money += paid - stake
-                peak = max(peak, money)
-                out.append((when, rid, stake, paid, money, 1 - money / peak if peak else 0.0))
-        got = pd.DataFrame(out, columns=[c.split()[0] for c in cols.split(", ")])
-        return got.assign(**{group: rows[group].iloc[0]})
-
+    cols = ["race_date", "rid", "stake", "payout", "bankroll", "drawdown"]
     kind = dict(bets.dtypes)[group]
-    return bets.groupBy(group).applyInPandas(fold, f"{cols}, {group} {kind}")
+    edge = F.col("p") * F.col("win_odds") - 1
+    ordered = bets.select(group, "race_date", "rid", "p", "win_odds", "is_winner").repartition(group).sortWithinPartitions(group, "race_date", "rid", edge.desc(), F.desc("p"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, name = None, None
+
+        def frame(rows: list[tuple], of) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=cols).assign(**{group: of})
+
+        for batch in batches:
+            for key, part in batch.groupby(group, sort=False, dropna=False):
+                if now is None or key != name:
+                    if now is not None and (rows := now.settle()):
+                        yield frame(rows, name)
+                    now, name = Bankroll(bankroll, unit, share, race_cap, cap, day_cap), key
+                out = []
+                for r in part.itertuples():
+                    out += now.bet(r.race_date, r.rid, r.p, r.win_odds, r.is_winner == 1)
+                if out:
+                    yield frame(out, name)
+        if now is not None and (rows := now.settle()):
+            yield frame(rows, name)
+
+    return ordered.mapInPandas(fold, f"race_date date, rid long, stake long, payout long, bankroll double, drawdown double, {group} {kind}")
 
 
 def summary(detail: DataFrame, group: str) -> DataFrame:

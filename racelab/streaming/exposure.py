@@ -40,8 +40,17 @@ class Limits:
 
 
 class Exposure(StatefulProcessor):
-    def __init__(self, limits: Limits, grace_hours: int | None, ttl_hours: int | None):
-        self.limits, self.grace, self.ttl = limits, grace_hours, ttl_hours
+    def __init__(self, limits: Limits, grace_hours: int | None, ttl_hours: int | None, bankroll: float | None = None, cap: int | None = None):
+        self.limits, self.grace, self.ttl, self.bankroll, self.cap = limits, grace_hours, ttl_hours, bankroll, cap
+
+    def _asked(self, r, committed: int) -> tuple[int, float]:
+        """(desired stake, bankroll) of a request; by fractions, of what the day has left of the bankroll."""
+        if self.bankroll is None:
+            return int(r.desired), r.bankroll
+        left = self.bankroll - committed
+        money = left if left > 0 else self.bankroll
+        stake = self.limits.down(min(money * r.fraction, self.cap))
+        return (stake if stake >= self.limits.least else 0), money
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = None if self.ttl is None else self.ttl * 3_600_000
@@ -74,21 +83,22 @@ class Exposure(StatefulProcessor):
         out = []
         for r in asked.itertuples():
             stake, reason = 0, "not_asked"
-            if r.desired > 0:
+            desired, bankroll = self._asked(r, day[1] if day else 0)
+            if desired > 0:
                 if day is None:
-                    day = (at.down(r.bankroll * at.day), 0)
+                    day = (at.down(bankroll * at.day), 0)
                     self._timer(key)
                 if r.race_id not in seen:
                     held = self.races.getValue((r.race_id,)) if self.races.containsKey((r.race_id,)) else None
-                    seen[r.race_id] = (at.down(r.bankroll * at.race), 0) if held is None else tuple(held)
+                    seen[r.race_id] = (at.down(bankroll * at.race), 0) if held is None else tuple(held)
                 limit, used = seen[r.race_id]
-                left = min(int(r.bankroll), max(0, day[0] - day[1]), max(0, limit - used))
-                stake = at.down(min(int(r.desired), left))
+                left = min(int(bankroll), max(0, day[0] - day[1]), max(0, limit - used))
+                stake = at.down(min(desired, left))
                 stake = stake if stake >= at.least else 0
-                reason = "selected" if stake == r.desired else "selected_budget_capped" if stake else "race_or_day_budget_exhausted"
+                reason = "selected" if stake == desired else "selected_budget_capped" if stake else "race_or_day_budget_exhausted"
                 day = (day[0], day[1] + stake)
                 seen[r.race_id] = (limit, used + stake)
-            out.append((key[0], r.race_id, int(r.sequence), int(r.desired), stake, reason))
+            out.append((key[0], r.race_id, int(r.sequence), desired, stake, reason))
         if day is not None:
             self.day.update((int(day[0]), int(day[1])))
         for race, held in seen.items():
@@ -104,20 +114,24 @@ class Exposure(StatefulProcessor):
         """Nothing to close."""
 
 
-def exposures(requests: DataFrame, limits: Limits = Limits(), seed: DataFrame | None = None, event_time: str | None = "asked_at", late: str = "1 hour", grace_hours: int = 6, ttl_hours: int = 48) -> DataFrame:
-    """Stakes of (day date, race_id, sequence, desired long, bankroll long), a stream or a table.
+def exposures(requests: DataFrame, limits: Limits = Limits(), seed: DataFrame | None = None, event_time: str | None = "asked_at", late: str = "1 hour", grace_hours: int = 6, ttl_hours: int = 48, bankroll: float | None = None, cap: int = 5000) -> DataFrame:
+    """Stakes of (day date, race_id, sequence, desired long, bankroll double), a stream or a table.
 
+    With ``bankroll`` the requests have ``fraction`` instead of desired and bankroll: each asks for that share
+    of what its day has left of the bankroll, at most ``cap``.
     ``event_time`` names a timestamp of the requests: a day's state goes with the watermark. Without it
     (None) state lives ``ttl_hours`` after its last change. ``seed``: what ``seeded`` gives.
     """
     spark = requests.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)  # the one that has typed state
+    _ = spark.streams.active  # starts what keeps track of state, which a table's fold needs as a stream's does
     timed = event_time is not None and requests.isStreaming
-    columns = ["day", "race_id", "sequence", "desired", "bankroll", *([event_time] if timed else [])]
+    asked = ["desired", "bankroll"] if bankroll is None else ["fraction"]
+    columns = ["day", "race_id", "sequence", *asked, *([event_time] if timed else [])]
     rows = requests.select(*columns)
     if timed:
         rows = rows.withWatermark(event_time, late)
-    processor = Exposure(limits, grace_hours if timed else None, None if timed or not requests.isStreaming else ttl_hours)
+    processor = Exposure(limits, grace_hours if timed else None, None if timed or not requests.isStreaming else ttl_hours, bankroll, cap)
     mode = "EventTime" if timed else "ProcessingTime" if requests.isStreaming else "None"
     return rows.groupBy("day").transformWithStateInPandas(processor, OUT, "Append", mode, None if seed is None else seed.groupBy("day"))
 
