@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from racelab.functions.safe import number
+from racelab.sources import feed
 
 #: Header names by canonical column, in order of priority.
 ALIASES: dict[str, tuple[str, ...]] = {
@@ -23,22 +27,39 @@ ALIASES: dict[str, tuple[str, ...]] = {
 }
 REQUIRED = ("race_id", "race_date", "horse_name")
 _NUMBERS = {"finish_position", "win_odds", "post_position", "distance_m"}
-#: Tried in this order; the first that decodes a file's head without a replacement is taken.
+#: Tried in this order; the first that decodes all of a table's files is taken.
 ENCODINGS = ("UTF-8", "windows-31j", "Shift_JIS", "EUC-JP")
 
 
-def detect_encoding(spark: SparkSession, path: str, sample: int = 65536) -> str:
-    """By the head of one file, read by Spark."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample).alias("head")).first()
-    data = bytes(head.head) if head else b""
-    python = {"UTF-8": "utf-8", "windows-31j": "cp932", "Shift_JIS": "shift_jis", "EUC-JP": "euc_jp"}
+_PYTHON = {"UTF-8": "utf-8", "windows-31j": "cp932", "Shift_JIS": "shift_jis", "EUC-JP": "euc_jp"}
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """The first of ``ENCODINGS`` that decodes every line of every file; lines are tried by the tasks that
+    read them, and end in a byte that is part of no character in any of these."""
+    if _zipped(path):
+        lines = feed.read(spark, path, members="table").select("record")
+    else:
+        lines = spark.read.text(path).select(F.col("value").cast("binary").alias("raw"))  # bytes as they are
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad = dict.fromkeys(ENCODINGS, 0)
+        for b in batches:
+            for line in b.column(0).to_pylist():
+                if line is None or line.isascii():
+                    continue
+                for name in ENCODINGS:
+                    if not bad[name]:
+                        try:
+                            line.decode(_PYTHON[name])
+                        except UnicodeDecodeError:
+                            bad[name] = 1
+        yield pa.record_batch([pa.array(list(bad)), pa.array(list(bad.values()), pa.int64())], ["name", "bad"])
+
+    bad = {r.name: r.bad for r in lines.mapInArrow(tried, "name string, bad long").groupBy("name").agg(F.sum("bad").alias("bad")).collect()}
     for name in ENCODINGS:
-        for cut in range(4):  # the sample may end inside a character
-            try:
-                data[: len(data) - cut].decode(python[name])
-                return name
-            except UnicodeDecodeError:
-                continue
+        if not bad.get(name, 0):
+            return name
     raise ValueError(f"{path}: none of {', '.join(ENCODINGS)} decodes it")
 
 
@@ -59,12 +80,25 @@ def normalise(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
     return df.select(*map(typed, picked))
 
 
+def _zipped(path: str) -> bool:
+    return path.lower().endswith(".zip")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A delimited table with a header as strings, in any of ``ENCODINGS``, plain or wrapped in a ZIP archive.
+    Spark's own reader knows UTF-8 only; in other charsets and archives a record is a line."""
+    encoding = detect_encoding(spark, path)
+    if encoding == "UTF-8" and not _zipped(path):
+        return spark.read.option("header", True).csv(path)
+    return feed.csv_table(spark, path, encoding)
+
+
 def read_history(spark: SparkSession, path: str, required: tuple[str, ...] = (*REQUIRED, "finish_position")) -> DataFrame:
-    return normalise(spark.read.option("header", True).option("encoding", detect_encoding(spark, path)).csv(path), required)
+    return normalise(read_table(spark, path), required)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    return normalise(spark.read.option("header", True).option("encoding", detect_encoding(spark, path)).csv(path))
+    return normalise(read_table(spark, path))
 
 
 def field(text: Column, start: int, length: int) -> Column:

@@ -1,6 +1,8 @@
 import datetime as dt
 import math
+import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from racelab.functions import betting
@@ -98,6 +100,24 @@ def test_text_source_aliases_and_encodings(spark, tmp_path):
     assert sources.detect_encoding(spark, str(tmp_path / "a.csv")) == "UTF-8"
 
 
+def test_the_whole_file_decides_the_encoding(spark, tmp_path):
+    """A character of another charset behind the first 100 KB; several files are one table."""
+    head = "race_date,race_id,horse_name,finish_position\n" + "2020-01-01,R1,plain,1\n" * 6000
+    (tmp_path / "late.csv").write_bytes(head.encode() + "2020-01-02,R2,ハナ,2\n".encode("cp932"))
+    assert sources.detect_encoding(spark, str(tmp_path / "late.csv")) == "windows-31j"
+    assert sources.read_history(spark, str(tmp_path / "late.csv")).where("race_id = 'R2'").first().horse_name == "ハナ"
+    with zipfile.ZipFile(tmp_path / "h.zip", "w") as z:
+        z.writestr("history.csv", "Date,raceid,Horse,rank\n2020-01-02,R2,ハナ,2\n".encode("cp932"))
+    assert sources.read_history(spark, str(tmp_path / "h.zip")).first().horse_name == "ハナ"
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.csv").write_bytes(head.encode())
+    (tmp_path / "many" / "b.csv").write_bytes("2020-01-02,R2,ハナ,2\n".encode("euc_jp"))
+    assert sources.detect_encoding(spark, str(tmp_path / "many")) in ("EUC-JP", "windows-31j", "Shift_JIS")
+    (tmp_path / "none.csv").write_bytes(b"a\n\x81 \n")
+    with pytest.raises(ValueError, match="none of"):
+        sources.detect_encoding(spark, str(tmp_path / "none.csv"))
+
+
 def test_odds_book(spark):
     text = "HEAD" + "01002501" + "02000902" + "        " + "04012303"
     got = sources.odds_book(spark.createDataFrame([(text,)], "text string"), "text", 5, items=4).collect()
