@@ -33,11 +33,28 @@ def evidence(df: DataFrame, p: str) -> DataFrame:
     return races.select("race_id", ordered.alias("trifecta"), trio.alias("trio"), (s[0] * s[1] * s[2] / F.greatest(e3, F.lit(1e-300))).alias("exact_three"))
 
 
+def ordered_exact_three(df: DataFrame, p: str, market: str) -> DataFrame:
+    """Of each race with one runner on each of the first three places: the probability of its set, given that
+    exactly three are placed, times the market's probability of their order within the set."""
+    sets = evidence(df, p).select("race_id", "exact_three")
+    place = lambda k: F.max(F.when(F.col("finish_position") == k, F.greatest(F.col(market), F.lit(1e-12)))).alias(f"m{k}")
+    order = df.groupBy("race_id").agg(*[place(k) for k in (1, 2, 3)])
+    m1, m2, m3 = (F.col(f"m{k}") for k in (1, 2, 3))
+    within = m1 / (m1 + m2 + m3) * m2 / (m2 + m3)
+    return sets.join(order, "race_id").select("race_id", "exact_three", within.alias("order_within"), (F.col("exact_three") * within).alias("exact_trifecta"))
+
+
 def triples(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All unordered triples of a race: an equi-join on the race, positions ascending."""
-    side = lambda t: df.select("race_id", F.col("post_position").alias(f"{t}_post"), *[F.col(c).alias(f"{t}_{c}") for c in columns])
-    ab = side("a").join(side("b"), "race_id").where("a_post < b_post")
-    return ab.join(side("c"), "race_id").where("b_post < c_post")
+    """All unordered triples of a race, positions ascending. A race becomes one row with its field in order;
+    triples come from that array, so the table is shuffled once."""
+    runner = F.struct("post_position", *columns)
+    race = df.where("post_position IS NOT NULL").groupBy("race_id").agg(F.sort_array(F.collect_list(runner)).alias("_f"))
+    later = lambda at: F.slice("_f", F.col(at) + 2, F.greatest(F.size("_f") - F.col(at) - 1, F.lit(0)))
+    a = race.select("race_id", "_f", F.posexplode("_f").alias("_i", "_a"))
+    b = a.select("race_id", "_f", "_i", "_a", F.posexplode(later("_i")).alias("_n", "_b")).withColumn("_j", F.col("_i") + 1 + F.col("_n"))
+    c = b.select("race_id", "_a", "_b", F.explode(later("_j")).alias("_c"))
+    got = c.where("_a.post_position < _b.post_position AND _b.post_position < _c.post_position")
+    return got.select("race_id", *[F.col(f"_{t}.{x}").alias(f"{t}_{'post' if x == 'post_position' else x}") for t in "abc" for x in ("post_position", *columns)])
 
 
 def role_aware(df: DataFrame, q: str, market: str, longshot: float = 6.0) -> DataFrame:

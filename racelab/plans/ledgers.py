@@ -90,6 +90,14 @@ def exact_three_trio(spark, d):
     return _out(_evidence(spark, d), "exact_three", places=6, keys=("race_id",))
 
 
+@register("exact_three_trifecta", _sql(SCORED + _EV4, """, m AS (SELECT race_id, max(greatest(market_implied_probability, 1e-12)) FILTER (finish_position = 1) AS a, max(greatest(market_implied_probability, 1e-12)) FILTER (finish_position = 2) AS b, max(greatest(market_implied_probability, 1e-12)) FILTER (finish_position = 3) AS c FROM scored GROUP BY 1)
+SELECT race_id, round(a / (a + b + c) * b / (b + c), 7) AS order_within, round(exact_three * (a / (a + b + c) * b / (b + c)), 7) AS exact_trifecta FROM ev JOIN m USING (race_id)"""))
+def exact_three_trifecta(spark, d):
+    """The realised order: the exact set by the model, the order within it by the market."""
+    got = combos.ordered_exact_three(scored(spark, d).where("field_size >= 4"), "predicted_win_probability", "market_implied_probability")
+    return _out(got, "order_within", "exact_trifecta", places=7, keys=("race_id",))
+
+
 @register("joint_quality", _sql(SCORED + _EV4, " SELECT count(*) AS races, round(avg(-ln(greatest(trifecta, 1e-300))), 6) AS mean_nll, round(exp(-avg(-ln(greatest(trifecta, 1e-300)))), 6) AS geometric_mean FROM ev"))
 def joint_quality(spark, d):
     nll = F.avg(-F.log(F.greatest(F.col("trifecta"), F.lit(1e-300))))
