@@ -40,6 +40,16 @@ def weight_of(raw: Column) -> Column:
     return F.when(~raw.isin(0, 999), raw)
 
 
+def return_code(message: Column) -> Column:
+    """The number after ``return code`` in a message; null without one."""
+    return F.nullif(F.regexp_extract(message, r"return code\s+(-?[0-9]+)", 1), F.lit("")).try_cast("int")
+
+
+def heartbeat_stale(updated: Column, now: Column, most_seconds: int = 1800) -> Column:
+    """Whether a sign of life is older than ``most_seconds``; without one that can be read it is not stale."""
+    return F.coalesce((F.unix_micros(now) - F.unix_micros(updated)) > most_seconds * 1_000_000, F.lit(False))
+
+
 def blank(text: Column) -> Column:
     """Null, empty, or spaces only, the full-width one included."""
     return F.coalesce(F.trim(F.translate(text, WIDE_SPACE + "\t", "  ")) == "", F.lit(True))

@@ -213,6 +213,16 @@ def test_no_model_predicts_a_year_that_it_saw(spark, monkeypatch):
     assert stacking.stacked(rows.where("year = 2000"), first, "top3", "market_implied_probability", Scratch(spark, "stack-test")).count() == 0
 
 
+def test_what_a_first_level_leaves(spark):
+    """The remainder is learned from earlier years only and held within its bound."""
+    rows = runners(spark, 160, 4).withColumn("base", F.lit(0.75))
+    level = stacking.residual_level(["form"], "base", "top3", "adjusted", rounds=5, depth=2, step=0.3, bound=0.2)
+    got = level(rows.where("year < 2003"), rows.where("year = 2003")).collect()
+    assert got and all(0.55 - 1e-9 <= r.adjusted <= 0.95 + 1e-9 for r in got)
+    best, worst = (np.mean([r.adjusted for r in got if f(r.form)]) for f in (lambda x: x > 1, lambda x: x < -1))
+    assert best > worst
+
+
 def test_missing_categories_take_the_mode(spark):
     rows = runners(spark)
     assert models.modes(rows, ["surface"]) == {"surface": "b"}
