@@ -11,7 +11,8 @@ base units held fixed carries an entity's label to its other spellings (a phone
 Other tokens have no label but ``outside`` and would only pass on constants, so they are not nodes.
 A unit's repeats are joined to the next repeat and to the first, never all pairs.
 
-Null texts count as empty: no spans. Repeated rows get repeated results; ids may be null.
+Base spans of several kinds that overlap are one unit, with the label of the one that starts first (ties: the
+first kind); all of them stay spans. Null texts count as empty: no spans. Repeated rows get repeated results; ids may be null.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ component with each other, a large component in square tiles of bounded size: co
 tasks, never pairs, and no group is a hot task.
 
 Where many projections are equal, so that the margin would hold far more than its share, its rows go
-to one side only, by a hash: blocks get smaller whatever the vectors.
+to one side only, by a hash: blocks get smaller whatever the vectors. Should a block still be too large after
+60 levels, the job fails and says so, rather than lose links. Classes are named by a 64-bit hash of the vector.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing: no links, their
 own component. Vectors of different lengths don't link; each length has a forest of its own. Rows
