@@ -277,3 +277,34 @@ def test_gates(spark):
     assert [got[k, "least"] for k in "abcd"] == ["passed", "unavailable", "failed", "passed"]
     said = {r.k: r for r in gates.verdict(gates.table(rows, rules, ["k"]), ["k"]).collect()}
     assert said["a"].passed and said["a"].reasons == "" and said["c"].reasons == "delta:unavailable,least:failed,roi:insufficient" and said["d"].gates_passed == 1
+
+
+# ------------------------------------------------------ forward paper runs
+
+
+def test_forward_paper_run(spark, tmp_path):
+    """A frozen model on entries with a quote each: recorded once, starters only, sums checked."""
+    from racelab.sources.ledger_table import LedgerTable
+    from racelab.streaming import forward_paper
+
+    rows = runners(spark).withColumns({"horse_name": F.concat(F.lit("H"), F.col("post_position").cast("string")), "finish_position": F.when(F.col("is_winner") == 1, 1.0).otherwise(2.0), "win_odds": F.lit(4.0)})
+    path = str(tmp_path / "model")
+    manifest = artifacts.save(models.fit_logistic(rows, ["form", "age"], ["surface"]), artifacts.Manifest("v9", "e", ("form", "age"), ("surface",), "2000-01-01", "2000-12-28", rows.count()), path)
+    model = artifacts.load(spark, path, manifest)
+    history_ = rows.drop("is_winner", "top3", "year", "market_implied_probability")
+    last = rows.agg(F.max("race_date")).first()[0]
+    day = last + dt.timedelta(days=3)
+    entries = spark.createDataFrame([("F1", day, k, 2.0 if k == 1 else -1.0, 3.0, "a", f"H{k}", "0" if k < 4 else "1") for k in (1, 2, 3, 4)], "race_id string, race_date date, post_position long, form double, age double, surface string, horse_name string, abnormal string")
+    at = F.to_timestamp(F.lit(f"{day} 10:00:00"))
+    post = dt.datetime.combine(day, dt.time(10, 30))
+    quotes = spark.createDataFrame([("F1", f"F1-{k}", post - dt.timedelta(minutes=35), 4.0, post) for k in (1, 2, 3, 4)], "race_id string, horse_id string, observed_at timestamp, decimal_odds double, scheduled_post_time timestamp")
+    got = forward_paper.predictions(model, history_, entries, lambda df: df, at).collect()
+    assert sorted(r.horse_id for r in got) == ["F1-1", "F1-2", "F1-3"] and sum(r.probability for r in got) == pytest.approx(1.0) and {r.history_cutoff for r in got} == {last}
+    table = LedgerTable(spark, str(tmp_path / "ledger"))
+    assert forward_paper.run(model, history_, entries, lambda df: df, quotes, table, 100_000, at, batch=0) == 3
+    assert forward_paper.run(model, history_, entries, lambda df: df, quotes, table, 100_000, at, batch=0) == 0
+    assert forward_paper.run(model, history_, entries, lambda df: df, quotes, table, 100_000, at, batch=1) == 0
+    held = {r.horse_id: r for r in table.read().collect()}
+    assert held["F1-1"].stake > 0 and held["F1-1"].model_version == "v9" and held["F1-2"].stake == 0
+    with pytest.raises(Exception, match="stale"):
+        forward_paper.run(model, history_, entries.withColumn("race_date", F.date_add("race_date", 40)), lambda df: df, quotes, table, 100_000, at)
