@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from racelab.ml import artifacts, choice, forward, models, stacking
 from racelab.operators import gates, history, intake, lineage, market
+from racelab.sources import current
 from racelab.sources.scratch import Scratch
 
 D = dt.date
@@ -129,6 +130,18 @@ def test_filters_of_intake(spark):
         intake.from_training_start(dated, "2021-01-01").collect()
 
 
+@pytest.mark.parametrize("parsed, status", [([], "no_races_after_base"), ([("B", 1, D(2020, 1, 1), 1.0)], "no_races_after_base"), ([("B", 1, D(2020, 1, 5), 2.0)], "no_single_winner_races"), ([("B", 1, D(2020, 1, 5), 1.0)], "ready"), ([("B", 1, D(2020, 2, 5), 1.0), ("C", 1, D(2020, 2, 6), None)], "ready_recent_history_gap")])
+def test_current_history(spark, parsed, status):
+    kind = "race_id string, post_position long, race_date date, finish_position double"
+    base = spark.createDataFrame([("A", 1, D(2020, 1, 1), 1.0)], kind)
+    got, report = current.current_history(base, spark.createDataFrame(parsed, kind), "feed", "x", "y")
+    said = report.first()
+    assert said.status == status and said.history_rows == got.count()
+    strict = current.current_history(base, spark.createDataFrame(parsed, kind), "feed", "x", "y", allow_gap=False)[1].first()
+    assert strict.status == ("blocked_history_gap" if status.endswith("gap") else status)
+    assert current.current_history(base.limit(0), spark.createDataFrame(parsed, kind), "feed", "x", "y")[1].first().status == "no_base"
+
+
 # ------------------------------------------------------------------- choice
 
 
