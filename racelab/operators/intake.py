@@ -68,3 +68,47 @@ def checks(df: DataFrame, base: DataFrame, keys: list[str], today: str) -> DataF
     names = ["missing_dates", "bad_odds", "future_rows", "duplicate_keys", "overlapping_keys"]
     errors = F.concat_ws(",", *[F.when(F.col(c) > 0, c) for c in names])
     return out.withColumn("errors", errors).withColumn("status", F.when(errors == "", "ready").otherwise("blocked"))
+
+
+def review(base: DataFrame, supplement: DataFrame, approved: bool, redistributable: bool = False, most_gap_days: int = 14, allow_gap: bool = False) -> DataFrame:
+    """One row on a supplement (race_id, horse_name, race_date, finish_position, win_odds) to a base: counts,
+    the errors of ten rules, warnings, and ``ready`` or ``blocked``. Keys are race and name, null being a value.
+
+    One aggregation by key, one by race, and one over all for each table; what meets are single rows.
+    """
+    if most_gap_days < 0:
+        raise ValueError("the gap must not be negative")
+    keys = ["race_id", "horse_name"]
+    finish, odds = F.col("finish_position").cast("double"), F.col("win_odds").cast("double")
+    bad = lambda x, least: F.count_if(x.isNull() | F.isnan(x) | least)
+    rows = supplement.agg(
+        F.count("*").alias("rows"), F.min("race_date").alias("start"), F.max("race_date").alias("end"),
+        bad(finish, finish < 1).alias("invalid_result_rows"), bad(odds, odds <= 1).alias("invalid_odds_rows"),
+    )
+    day = F.coalesce(F.col("race_date").cast("string"), F.lit("missing"))
+    races = supplement.groupBy("race_id").agg(F.count_distinct(day).alias("days"), F.count_if(finish == 1).alias("w"))
+    races = races.agg(F.count("*").alias("races"), F.count_if(F.col("days") > 1).alias("race_date_conflicts"), F.count_if(F.col("w") != 1).alias("winner_conflicts"))
+    tagged = supplement.select(*keys, F.lit(1).alias("_s")).unionByName(base.select(*keys, F.lit(0).alias("_s"))).groupBy(*keys).agg(F.sum("_s").alias("s"), F.count_if(F.col("_s") == 0).alias("b"))
+    both = tagged.agg(F.coalesce(F.sum(F.greatest(F.col("s") - 1, F.lit(0))), F.lit(0)).alias("duplicate_keys"), F.coalesce(F.sum(F.when(F.col("b") > 0, F.col("s"))), F.lit(0)).alias("overlapping_keys"))
+    one = base.agg(F.count("*").alias("base_rows"), F.max("race_date").alias("base_end"))
+    for part in (rows, races, both):  # one row each
+        one = one.crossJoin(F.broadcast(part))
+    one = one.withColumn("gap_days", F.datediff("start", "base_end").cast("long"))
+    wide = F.coalesce(F.col("gap_days") > most_gap_days, F.lit(False))
+    rules = {
+        "empty_base": F.col("base_rows") == 0,
+        "empty_supplement": F.col("rows") == 0,
+        "not_after_base": F.coalesce(F.col("gap_days") <= 0, F.lit(False)),
+        "history_gap": wide & F.lit(not allow_gap),
+        "duplicate_keys": F.col("duplicate_keys") > 0,
+        "overlapping_keys": F.col("overlapping_keys") > 0,
+        "invalid_results": F.col("invalid_result_rows") > 0,
+        "invalid_odds": F.col("invalid_odds_rows") > 0,
+        "race_date_conflicts": F.col("race_date_conflicts") > 0,
+        "winner_conflicts": F.col("winner_conflicts") > 0,
+        "not_approved": F.lit(not approved),
+    }
+    notes = {"history_gap": wide & F.lit(allow_gap), "not_redistributable": F.lit(not redistributable)}
+    named = lambda found: F.concat_ws(",", *[F.when(rule, name) for name, rule in found.items()])
+    out = one.withColumns({"errors": named(rules), "warnings": named(notes)})
+    return out.withColumn("status", F.when(F.col("errors") == "", "ready").otherwise("blocked"))

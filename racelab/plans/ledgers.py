@@ -353,4 +353,22 @@ def intake_checks(spark, d):
     return intake.checks(rows.where(F.col("race_date") >= F.lit("2000-05-01").cast("date")), rows.where(F.col("race_date") < F.lit(_CUT).cast("date")), ["race_id", "horse_name"], "2001-06-01")
 
 
+@register("intake_review", _sql(RUNNERS, f""", b AS (SELECT * FROM runners WHERE race_date < DATE '2000-06-01'), s AS (SELECT race_id, CASE WHEN age = 2 THEN 'H' ELSE horse_name END AS horse_name, CASE WHEN post_position = 6 THEN race_date + 1 ELSE race_date END AS race_date, CASE WHEN age = 3 THEN 0 WHEN age <> 4 THEN finish_position END AS finish_position,
+  CASE WHEN age = 5 THEN 1.0e0 WHEN age <> 6 THEN win_odds END AS win_odds FROM runners WHERE race_date >= DATE '2000-05-01'), z AS (SELECT count(*) AS base_rows, CAST(max(race_date) AS DATE) AS base_end FROM b),
+r AS (SELECT count(*) AS rows, CAST(min(race_date) AS DATE) AS start, CAST(max(race_date) AS DATE) AS "end", count(*) FILTER (finish_position IS NULL OR finish_position < 1) AS invalid_result_rows, count(*) FILTER (win_odds IS NULL OR win_odds <= 1) AS invalid_odds_rows FROM s),
+g AS (SELECT count(*) AS races, count(*) FILTER (days > 1) AS race_date_conflicts, count(*) FILTER (w <> 1) AS winner_conflicts FROM (SELECT race_id, count(DISTINCT race_date) AS days, count(*) FILTER (finish_position = 1) AS w FROM s GROUP BY 1)),
+d AS (SELECT (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM s GROUP BY race_id, horse_name)) AS duplicate_keys, (SELECT count(*) FROM s SEMI JOIN b USING (race_id, horse_name)) AS overlapping_keys),
+a AS (SELECT *, date_diff('day', base_end, start) AS gap_days FROM z, r, g, d)
+SELECT *, concat_ws(',', CASE WHEN base_rows = 0 THEN 'empty_base' END, CASE WHEN rows = 0 THEN 'empty_supplement' END, CASE WHEN gap_days <= 0 THEN 'not_after_base' END, CASE WHEN gap_days > 14 THEN 'history_gap' END, CASE WHEN duplicate_keys > 0 THEN 'duplicate_keys' END, CASE WHEN overlapping_keys > 0 THEN 'overlapping_keys' END,
+  CASE WHEN invalid_result_rows > 0 THEN 'invalid_results' END, CASE WHEN invalid_odds_rows > 0 THEN 'invalid_odds' END, CASE WHEN race_date_conflicts > 0 THEN 'race_date_conflicts' END, CASE WHEN winner_conflicts > 0 THEN 'winner_conflicts' END) AS errors, 'not_redistributable' AS warnings, 'blocked' AS status FROM a"""))
+def intake_review(spark, d):
+    """All rules on a supplement with planted faults."""
+    rows, age = runners(spark, d), F.col("age")
+    supplement = rows.where("race_date >= '2000-05-01'").select(
+        "race_id", F.when(age == 2, "H").otherwise(F.col("horse_name")).alias("horse_name"), F.when(F.col("post_position") == 6, F.date_add("race_date", 1)).otherwise(F.col("race_date")).alias("race_date"),
+        F.when(age == 3, 0.0).when(age != 4, F.col("finish_position")).alias("finish_position"), F.when(age == 5, 1.0).when(age != 6, F.col("win_odds")).alias("win_odds"),
+    )
+    return intake.review(rows.where("race_date < '2000-06-01'"), supplement, True)
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "bets", "history"]

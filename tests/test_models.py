@@ -142,6 +142,26 @@ def test_current_history(spark, parsed, status):
     assert current.current_history(base.limit(0), spark.createDataFrame(parsed, kind), "feed", "x", "y")[1].first().status == "no_base"
 
 
+SUPPLEMENT = "race_id string, horse_name string, race_date date, finish_position double, win_odds double"
+
+
+@pytest.mark.parametrize("rows, options, errors, warnings", [
+    ([("B", "x", D(2020, 1, 5), 1.0, 2.0), ("B", "y", D(2020, 1, 5), 2.0, 3.0)], {"redistributable": True}, "", ""),
+    ([], {}, "empty_supplement", "not_redistributable"),
+    ([("B", "x", D(2020, 1, 1), 1.0, 2.0)], {"approved": False}, "not_after_base,not_approved", "not_redistributable"),
+    ([("B", "x", D(2020, 2, 1), 1.0, 2.0)], {}, "history_gap", "not_redistributable"),
+    ([("B", "x", D(2020, 2, 1), 1.0, 2.0)], {"allow_gap": True}, "", "history_gap,not_redistributable"),
+    ([("A", "a", D(2020, 1, 5), 1.0, 2.0), ("A", "a", D(2020, 1, 6), None, 2.0)], {}, "duplicate_keys,overlapping_keys,invalid_results,race_date_conflicts", "not_redistributable"),
+    ([("B", None, D(2020, 1, 5), 0.0, 1.0), ("B", None, None, 3.0, None)], {}, "duplicate_keys,invalid_results,invalid_odds,race_date_conflicts,winner_conflicts", "not_redistributable"),
+])
+def test_review_of_an_intake(spark, rows, options, errors, warnings):
+    base = spark.createDataFrame([("A", "a", D(2020, 1, 1), 1.0, 2.0)], SUPPLEMENT)
+    got = intake.review(base, spark.createDataFrame(rows, SUPPLEMENT), **{"approved": True, **options}).first()
+    assert (got.errors, got.warnings, got.status) == (errors, warnings, "blocked" if errors else "ready")
+    empty = intake.review(base.limit(0), spark.createDataFrame(rows, SUPPLEMENT), True).first()
+    assert "empty_base" in empty.errors and empty.gap_days is None
+
+
 # ------------------------------------------------------------------- choice
 
 
