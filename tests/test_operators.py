@@ -52,6 +52,17 @@ def test_asof_takes_quotes_of_the_same_moment(spark):
     assert got == {7: (20, 4.5), 8: (None, None), 9: (10, 8.0), 10: (None, None)}
 
 
+def test_latest_quotes_are_attached_or_named(spark):
+    rows = spark.createDataFrame([("A", 1, "x"), ("A", 2, "y"), ("A", 3, "z"), ("A", 4, "w"), ("A", 5, "v"), ("A", 1, "x"), (None, 1, "x")], "race_id string, post long, name string")
+    quotes = spark.createDataFrame([("A", 1, 1, 9.0, "x"), ("A", 1, 2, 2.0, "x"), ("A", 1, 2, 2.0, "x"), ("A", 2, 5, 2.0, "y"), ("A", 2, 5, 3.0, "y"), ("A", 3, 1, 2.0, "z"), ("A", 3, 2, None, "z"), ("A", 4, 1, 2.0, "other"), (None, 1, 1, 2.0, "x"), ("A", 5, None, 2.0, "v")], "race_id string, post long, t long, odds double, name string")
+    got = sorted((r.post, r.odds or 0, r.quoted_at or 0, r.attach_status) for r in asof.attached(rows, quotes, ["race_id", "post"], "t", ["odds"], ["name"]).collect() if r.race_id)
+    assert got == [(1, 2.0, 2, "ok"), (1, 2.0, 2, "ok"), (2, 2.0, 5, "ambiguous"), (3, 0, 2, "null_value"), (4, 2.0, 1, "mismatch"), (5, 0, 0, "missing")]
+    assert asof.attached(rows, quotes.limit(0), ["race_id", "post"], "t", ["odds"]).where("attach_status = 'missing'").count() == 7
+    with pytest.raises(Exception, match="no usable quote: ambiguous A 2"):
+        asof.attached_or_fail(rows.where("post = 2"), quotes, ["race_id", "post"], "t", ["odds"], ["name"]).collect()
+    assert asof.attached_or_fail(rows.where("post = 1 AND race_id = 'A'"), quotes, ["race_id", "post"], "t", ["odds"], ["name"]).count() == 2
+
+
 def test_folds_follow_the_loop(spark):
     days = spark.createDataFrame([(D(2020, 1, 1) + dt.timedelta(k), k) for k in range(23)], "race_date date, day long")
     for least, test, gap in ((10, 4, 0), (10, 4, 2), (22, 5, 0), (30, 5, 0)):
