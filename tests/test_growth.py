@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from racelab.operators import parameters
+from racelab.operators import bootstrap, parameters
 from racelab.plans import raw
 from racelab.sources import records
 
@@ -53,3 +53,12 @@ def test_grids_multiply_no_rows(spark):
     got = {(r.year, r.parameter): (r.races, r.runners, round(r.loss, 9), round(r.brier, 9)) for r in found.collect()}
     assert got[1, 1.0] == (1, 3, 0.693147181, 1.5) and got[1, 0.0] == (1, 3, 0.916290732, 1.72) and got[None, 0.0] == (1, 1, 0.0, 0.0)
     assert len(got) == 2 * len(parameters.values("blend"))
+
+
+def test_replicates_are_drawn_by_many_tasks(spark):
+    races = spark.range(1000).select("id", F.lit(2).cast("long").alias("stake"), F.when(F.col("id") % 2 == 0, 0.5).alias("gain"))
+    found = bootstrap.replicates(races.coalesce(1), "id", ["stake", "gain"], 7)
+    assert "Generate" not in plan(found) and "Repartition" in plan(found)
+    drawn = races.crossJoin(spark.range(7).withColumnRenamed("id", "r")).withColumn("w", bootstrap.weight(F.col("id"), F.col("r")))
+    want = drawn.groupBy("r").agg(F.sum(F.col("w") * F.col("stake")).alias("stake"), F.sum(F.col("w") * F.col("gain")).alias("gain"), F.sum("w").alias("weight"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
