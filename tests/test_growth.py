@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from racelab.operators import bootstrap, parameters
+from racelab.operators import bootstrap, history, parameters
 from racelab.plans import raw
 from racelab.sources import records
 
@@ -62,3 +62,17 @@ def test_replicates_are_drawn_by_many_tasks(spark):
     drawn = races.crossJoin(spark.range(7).withColumnRenamed("id", "r")).withColumn("w", bootstrap.weight(F.col("id"), F.col("r")))
     want = drawn.groupBy("r").agg(F.sum(F.col("w") * F.col("stake")).alias("stake"), F.sum(F.col("w") * F.col("gain")).alias("gain"), F.sum("w").alias("weight"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_means_of_percentiles_are_exact(spark):
+    """906 sixths and 118 noughts: 151/1024, halfway between two values of nine places."""
+    past = spark.range(1024).select(F.lit("2020-01-01").cast("date").alias("race_date"), F.when(F.col("id") < 906, F.lit(1 / 6)).otherwise(0.0).alias("finish_percentile"))
+    last = spark.range(1).select(F.lit("2020-01-02").cast("date").alias("race_date"), F.lit(None).cast("double").alias("finish_percentile"))
+    rows = past.union(last).withColumns({"t": F.lit("a"), "finish_position": F.lit(1.0), "is_winner": F.lit(1)})
+    got = history.prior_history(rows, ["t"], "k").where("race_date = '2020-01-02'").first()
+    assert got.k_past_percentile_mean == 151 / 1024
+    # a field of 38, and no percentile at all
+    odd = rows.withColumn("finish_percentile", F.when(F.col("finish_percentile") > 0, F.lit(5 / 37)))
+    assert abs(history.prior_history(odd, ["t"], "k").where("race_date = '2020-01-02'").first().k_past_percentile_mean - 5 / 37) < 1e-12
+    none = rows.withColumn("finish_percentile", F.lit(None).cast("double"))
+    assert history.prior_history(none, ["t"], "k").where("race_date = '2020-01-02'").first().k_past_percentile_mean is None
