@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from racelab.operators import bootstrap, history, parameters
+from racelab.plans import models as plans
 from racelab.plans import raw
 from racelab.sources import records
 
@@ -76,3 +77,12 @@ def test_means_of_percentiles_are_exact(spark):
     assert abs(history.prior_history(odd, ["t"], "k").where("race_date = '2020-01-02'").first().k_past_percentile_mean - 5 / 37) < 1e-12
     none = rows.withColumn("finish_percentile", F.lit(None).cast("double"))
     assert history.prior_history(none, ["t"], "k").where("race_date = '2020-01-02'").first().k_past_percentile_mean is None
+
+
+def test_folds_share_the_exchange_of_races(spark):
+    found = plans.residual_model(spark, SF)
+    text = plan(found)
+    assert text.count("Union") == 1 and text.count("RepartitionByExpression") == 1
+    # windows stand above the union of the folds, none in a fold
+    assert text.index("Window") < text.index("Union") and "Window" not in text[text.index("Union") :]
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") in ("134217728", "128MB")
