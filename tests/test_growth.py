@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from racelab.operators import bootstrap, history, parameters
 from racelab.plans import models as plans
-from racelab.plans import raw
+from racelab.plans import raw, validation
 from racelab.sources import records
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,8 @@ def test_folds_share_the_exchange_of_races(spark):
     # windows stand above the union of the folds, none in a fold
     assert text.index("Window") < text.index("Union") and "Window" not in text[text.index("Union") :]
     assert spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") in ("134217728", "128MB")
+
+
+def test_keys_are_counted_apart_from_the_joins(spark):
+    text = plan(validation.duplicate_keys(spark, SF))
+    assert text.index("Aggregate") < text.index("RepartitionByExpression") < text.index("Join")
