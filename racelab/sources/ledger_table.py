@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from racelab.operators import checks, intake
+from racelab.sources.scratch import Scratch
 
 
 class ConcurrentChange(RuntimeError):
@@ -226,10 +227,13 @@ def _ddl(rows: DataFrame) -> str:
 def incremental(table: LedgerTable, update: DataFrame, won, writer: str | None = None, batch: int | None = None) -> dict:
     """Completed races of an overlapping re-read: races without exactly one winner are left out, then whole
     races replace what is there. ``won``: whether a row is its race's winner."""
-    judged = intake.single_winner(update, won)
+    scratch = Scratch(table.spark, "update")
+    # months, races and rows are asked of it one after the other
+    judged = scratch.save(intake.single_winner(update, won), "judged")
     good = judged.where("NOT quarantined").drop("winners", "quarantined")
-    out = table.replace_races(good, writer, batch)
-    return out | {"excluded_races": judged.where("quarantined").select("race_id").distinct().count()}
+    out = table.replace_races(good, writer, batch) | {"excluded_races": judged.where("quarantined").select("race_id").distinct().count()}
+    scratch.drop(judged)
+    return out
 
 
 def incremental_stream(updates: DataFrame, root: str, won, checkpoint: str, writer: str = "incremental"):

@@ -3,13 +3,17 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from racelab.ml import models
 from racelab.operators import bootstrap, history, parameters
 from racelab.plans import models as plans
 from racelab.plans import raw, validation
-from racelab.sources import records
+from racelab.sources import feed, records
+from racelab.sources.ledger_table import LedgerTable, incremental
+from racelab.streaming.exposure import Exposure, Limits
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +95,11 @@ def test_folds_share_the_exchange_of_races(spark):
 def test_keys_are_counted_apart_from_the_joins(spark):
     text = plan(validation.duplicate_keys(spark, SF))
     assert text.index("Aggregate") < text.index("RepartitionByExpression") < text.index("Join")
+
+
+def test_a_re_read_is_judged_once(spark, tmp_path, monkeypatch):
+    taken = []
+    monkeypatch.setattr(LedgerTable, "replace_races", lambda self, update, *rest: taken.append(plan(update)) or {})
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 0), ("b", 1, 1), ("b", 2, 1)], "race_id string, post_position long, won int")
+    assert incremental(LedgerTable(spark, str(tmp_path)), rows, F.col("won") == 1) == {"excluded_races": 1}
+    assert "Window" not in taken[0]
