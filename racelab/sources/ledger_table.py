@@ -173,7 +173,9 @@ class LedgerTable:
         old = self.state()
         if self._done(old, writer, batch):
             return 0
-        fresh = new.dropDuplicates([*keys, *values])
+        scratch = Scratch(self.spark, "append")
+        # asked for repeats, conflicts and the rows to write
+        fresh = first = scratch.save(new.dropDuplicates([*keys, *values]), "fresh")
         if fresh.groupBy(*keys).count().where("count > 1").limit(1).count():
             raise Conflict(f"several values for one of {', '.join(keys)}")
         now = self.read(old)
@@ -184,6 +186,7 @@ class LedgerTable:
                 raise Conflict(f"recorded with other values: {bad[0].asDict()}")
             fresh = judged.where("status = 'new'").drop("status")
         written = self._write(fresh, old.version + 1)
+        scratch.drop(first)
         months = {m: dict(v) for m, v in old.months.items()}
         for m, v in written.items():
             had = months.get(m, {"folders": [], "rows": 0, "end": ""})
@@ -254,6 +257,8 @@ def record_results(table: LedgerTable, results: DataFrame, writer: str | None =
     now = table.read(state)
     if now is None or table._done(state, writer, batch):
         return 0
+    scratch = Scratch(table.spark, "results")
+    results = scratch.save(results, "results")  # joined to count, then to write
     judged = ledger.with_results(now, results).select("status", table._month().alias("month"))
     found = {(r.status, r.month): r.n for r in judged.groupBy("status", "month").agg(F.count("*").alias("n")).collect()}  # a row a month and status
     if any(s == "conflict" for s, _ in found):
@@ -261,4 +266,5 @@ def record_results(table: LedgerTable, results: DataFrame, writer: str | None =
     months = sorted({m for s, m in found if s == "updated"})
     if months:
         table.update_months(lambda rows: ledger.with_results(rows, results).drop("status"), months, writer, batch)
+    scratch.drop(results)
     return sum(n for (s, _), n in found.items() if s == "updated")

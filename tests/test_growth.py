@@ -103,3 +103,12 @@ def test_a_re_read_is_judged_once(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 0), ("b", 1, 1), ("b", 2, 1)], "race_id string, post_position long, won int")
     assert incremental(LedgerTable(spark, str(tmp_path)), rows, F.col("won") == 1) == {"excluded_races": 1}
     assert "Window" not in taken[0]
+
+
+def test_appended_rows_are_made_once(spark, tmp_path, monkeypatch):
+    taken, write = [], LedgerTable._write
+    monkeypatch.setattr(LedgerTable, "_write", lambda self, rows, version: taken.append(plan(rows)) or write(self, rows, version))
+    rows = spark.createDataFrame([("a", "2020-01-01", 1), ("a", "2020-01-01", 1), ("b", "2020-02-01", 2)], "k string, race_date string, v long")
+    table = LedgerTable(spark, str(tmp_path))
+    assert table.append_immutable(rows, ["k"], ["v"]) == 2 and "Aggregate" not in taken[0]
+    assert sorted((r.k, r.v) for r in table.read().collect()) == [("a", 1), ("b", 2)]
