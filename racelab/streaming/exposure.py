@@ -4,7 +4,8 @@ Requests of a day are taken in order of arrival (``sequence``). A day's limit an
 fixed by the bankroll of the first request that wants a stake there; a stake is what is asked, what both
 limits leave and what the bankroll allows, rounded down to a unit, and nothing below the least stake. The
 two levels don't telescope into prefix sums, so a day is a fold: one key of state, one value for the day and
-a map with an entry for each race. Days run side by side.
+a list with the races' entries. A batch appends the entries of the races that it changed, and later entries
+count: state is read and written once a day and batch, not race by race. Days run side by side.
 
 The state of a day goes when the watermark (event time) has passed the day by ``grace`` hours, or, without
 event time, by the time to live of its entries. ``seeded`` builds the initial state from a ledger, so that a
@@ -56,7 +57,7 @@ class Exposure(StatefulProcessor):
         ttl = None if self.ttl is None else self.ttl * 3_600_000
         self.handle = handle
         self.day = handle.getValueState("day", "day_limit long, stakes long", ttl)
-        self.races = handle.getMapState("races", "race_id string", "race_limit long, stakes long", ttl)
+        self.races = handle.getListState("races", "race_id string, race_limit long, stakes long", ttl)
 
     def _end(self, key: tuple) -> int:
         """Milliseconds at which the day's state goes."""
@@ -70,8 +71,7 @@ class Exposure(StatefulProcessor):
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         first = initialState.iloc[0]
         self.day.update((int(first.day_limit), int(initialState.race_stakes.sum())))
-        for r in initialState.itertuples():
-            self.races.updateValue((r.race_id,), (int(r.race_limit), int(r.race_stakes)))
+        self.races.put([(r.race_id, int(r.race_limit), int(r.race_stakes)) for r in initialState.itertuples()])
         self._timer(key)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -79,6 +79,8 @@ class Exposure(StatefulProcessor):
         # one batch of one day: its requests must be in order of arrival, not of the shuffle
         asked = pd.concat(list(rows)).sort_values("sequence", kind="stable")
         day = self.day.get() if self.day.exists() else None
+        entries = list(self.races.get()) if self.races.exists() else []
+        held = {race: (limit, used) for race, limit, used in entries}
         seen: dict[str, tuple[int, int]] = {}
         out = []
         for r in asked.itertuples():
@@ -89,8 +91,7 @@ class Exposure(StatefulProcessor):
                     day = (at.down(bankroll * at.day), 0)
                     self._timer(key)
                 if r.race_id not in seen:
-                    held = self.races.getValue((r.race_id,)) if self.races.containsKey((r.race_id,)) else None
-                    seen[r.race_id] = (at.down(bankroll * at.race), 0) if held is None else tuple(held)
+                    seen[r.race_id] = held.get(r.race_id) or (at.down(bankroll * at.race), 0)
                 limit, used = seen[r.race_id]
                 left = min(int(bankroll), max(0, day[0] - day[1]), max(0, limit - used))
                 stake = at.down(min(desired, left))
@@ -101,8 +102,10 @@ class Exposure(StatefulProcessor):
             out.append((key[0], r.race_id, int(r.sequence), desired, stake, reason))
         if day is not None:
             self.day.update((int(day[0]), int(day[1])))
-        for race, held in seen.items():
-            self.races.updateValue((race,), held)
+        if seen and len(entries) + len(seen) > 2 * len(held | seen):
+            self.races.put([(race, *entry) for race, entry in (held | seen).items()])
+        elif seen:
+            self.races.appendList([(race, *entry) for race, entry in seen.items()])
         yield pd.DataFrame(out, columns=["day", "race_id", "sequence", "desired", "stake", "reason"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -112,3 +112,45 @@ def test_appended_rows_are_made_once(spark, tmp_path, monkeypatch):
     table = LedgerTable(spark, str(tmp_path))
     assert table.append_immutable(rows, ["k"], ["v"]) == 2 and "Aggregate" not in taken[0]
     assert sorted((r.k, r.v) for r in table.read().collect()) == [("a", 1), ("b", 2)]
+
+
+class _State:
+    """State of one key that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.now = 0, None
+
+    def exists(self):
+        return self.now is not None
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.now)) if isinstance(self.now, list) else self.now
+
+    def put(self, values):
+        self.calls, self.now = self.calls + 1, list(values)
+
+    update = put
+
+    def appendList(self, values):
+        self.calls, self.now = self.calls + 1, [*(self.now or []), *values]
+
+
+def test_exposure_state_is_read_and_written_by_day(spark):
+    day, races = _State(), _State()
+    day.update = lambda v: setattr(day, "now", tuple(v))
+
+    class Handle:
+        getValueState = staticmethod(lambda *a: day)
+        getListState = staticmethod(lambda *a: races)
+
+    fold = Exposure(Limits(day=0.5, race=0.1), None, None)
+    fold.init(Handle)
+    stakes = []
+    for batch in range(4):
+        asked = pd.DataFrame([(f"r{k}", 100 * batch + k, 400, 10000.0) for k in range(50)], columns=["race_id", "sequence", "desired", "bankroll"])
+        stakes += list(pd.concat(list(fold.handleInputRows((1,), iter([asked]), None))).stake)
+    # a race's limit is 1000, the day's 5000
+    assert stakes[:13] == [400] * 12 + [200] and sum(stakes) == 5000
+    assert races.calls <= 2 * 4 and len(races.now) <= 2 * 50
+    assert {r: u for r, _, u in races.now} == {f"r{k}": 400 if k < 12 else 200 if k == 12 else 0 for k in range(50)}
