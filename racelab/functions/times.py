@@ -12,7 +12,6 @@ def iso_instant(text: Column) -> Column:
     """An ISO-8601 date and time as an instant; null without an offset (``Z`` or hours and minutes), and
     for a day or time that doesn't exist. Seconds may be left out."""
     t = F.trim(text)
-    part = lambda k: F.regexp_extract(t, _ISO, k)
-    zone = F.when(part(4) == "Z", "Z").otherwise(F.regexp_replace(part(4), "^([+-][0-9]{2}):?([0-9]{2})$", "$1:$2"))
-    full = F.concat(part(1), F.lit("T"), part(2), F.when(part(3) == "", ":00").otherwise(part(3)), zone)
+    # one match a text: the pattern fixes the places, a cast takes the rest
+    full = F.when(F.substring(t, 17, 1) == ":", t).otherwise(F.concat(F.substring(t, 1, 16), F.lit(":00"), F.substring(t, 17, 6)))
     return F.when(t.rlike(_ISO), full.try_cast("timestamp"))

@@ -47,7 +47,7 @@ def read_odds(spark: SparkSession, path: str, default_source: str = "manual_csv"
     """(quotes, faults) of delimited files, plain or in ZIP archives; a fault has its file and row, counted
     from the header's 1. A record is a line."""
     lines = feed.read(spark, path, members="table", **options)
-    found = judged(feed.from_lines(lines, "UTF-8"), default_source)
+    found = judged(feed.from_lines(lines, "UTF-8", feed.first_lines(spark, path, **options)), default_source)
     faults = feed.line_numbers(lines, found.where("reason IS NOT NULL").select("file", "member", "start", "line", "reason"))
     return found.where("reason IS NULL").select(*QUOTE), faults.select("file", "member", F.col("line").alias("row"), "reason")
 

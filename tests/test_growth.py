@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from racelab.functions.times import iso_instant
 from racelab.ml import models
-from racelab.operators import bootstrap, history, parameters
+from racelab.operators import bootstrap, history, ledger, parameters
 from racelab.plans import models as plans
 from racelab.plans import raw, validation
 from racelab.sources import feed, records
@@ -154,3 +155,22 @@ def test_exposure_state_is_read_and_written_by_day(spark):
     assert stakes[:13] == [400] * 12 + [200] and sum(stakes) == 5000
     assert races.calls <= 2 * 4 and len(races.now) <= 2 * 50
     assert {r: u for r, _, u in races.now} == {f"r{k}": 400 if k < 12 else 200 if k == 12 else 0 for k in range(50)}
+
+
+def test_headers_are_found_without_reading_tables(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("x,y\n" + "1,2\n" * 3000)
+    lines = feed.first_lines(spark, str(tmp_path), split_bytes=4000)
+    assert 2 <= lines.count() < 20 and lines.where("offset = 0").count() == 2
+    assert feed.csv_table(spark, str(tmp_path), split_bytes=4000).count() == 6000
+    (tmp_path / "b.csv").write_text("x,z\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        feed.csv_table(spark, str(tmp_path))
+
+
+def test_instants_take_one_match(spark):
+    texts = {"2020-01-01T10:00:00Z": 1577872800, " 2020-01-01 19:00+0900 ": 1577872800, "2020-01-01T10:00:00.5+00:00": 1577872800.5, "2020-01-01T10:00Z": 1577872800, "2020-01-01 05:30:00-04:30": 1577872800}
+    texts |= dict.fromkeys(["2020-01-01T10:00:00", "2020-02-30T10:30:00Z", "2020-01-01T25:00Z", "2020-01-01T10:00+1900", "2020-01-01", "", None, "2020-01-01T10:00:00ZZ"])
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", iso_instant(F.col("t")).alias("at"))
+    assert "regexp_" not in plan(got)
+    assert {r.t: r.s for r in got.select("t", (F.unix_micros("at") / 1e6).alias("s")).collect()} == texts
