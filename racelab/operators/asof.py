@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_before(decisions: DataFrame, quotes: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
+def latest_before(decisions: DataFrame, quotes: DataFrame, key: str | list[str], at: str, values: list[str]) -> DataFrame:
     """Each decision with the last quote of its key at or before it (null without one).
 
     One union, one sort: quotes come before decisions of the same moment, and the last quote seen is
     carried forward. Linear in both sides, whatever the number of quotes of a key.
     """
-    marks = quotes.select(F.col(key), F.col(at), F.lit(0).alias("_kind"), F.struct(F.col(at).alias("quoted_at"), *values).alias("_quote"))
+    keys = [key] if isinstance(key, str) else key
+    marks = quotes.select(*keys, F.col(at), F.lit(0).alias("_kind"), F.struct(F.col(at).alias("quoted_at"), *values).alias("_quote"))
     asks = decisions.withColumns({"_kind": F.lit(1), "_quote": F.lit(None).cast(marks.schema["_quote"].dataType)})
     both = asks.unionByName(marks, allowMissingColumns=True)
-    seen = Window.partitionBy(key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = Window.partitionBy(*keys).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     got = both.withColumn("_last", F.last("_quote", ignorenulls=True).over(seen)).where("_kind = 1")
     return got.select(*decisions.columns, "_last.quoted_at", *[F.col(f"_last.{v}").alias(v) for v in values])
 

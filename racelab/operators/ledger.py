@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from racelab.operators.checks import blank
@@ -92,14 +92,19 @@ def with_results(rows: DataFrame, results: DataFrame) -> DataFrame:
     return got.withColumn("status", status).withColumn("finish_position", F.coalesce(old, new)).drop("_r")
 
 
-def paper_input_faults(rows: DataFrame) -> DataFrame:
-    """The guards that a prediction breaks, comma-joined; repeated (race, horse) keys by one aggregation.
-    Columns: race_id, horse_id, horse_name, model_version, probability, confidence."""
-    copies = rows.groupBy("race_id", "horse_id").agg(F.count("*").alias("_n")).where("_n > 1")
-    got = rows.join(copies, ["race_id", "horse_id"], "left")
+def with_input_faults(rows: DataFrame) -> DataFrame:
+    """Each prediction with ``faults``: the guards that it breaks, comma-joined, null if none. Columns: race_id,
+    horse_id, horse_name, model_version, probability, confidence. Repeated keys are seen in one window."""
+    same = Window.partitionBy("race_id", "horse_id")
     outside = lambda c: _breaks(~F.col(c).between(0.0, 1.0) | F.isnan(c))
-    rules = {"probability": outside("probability"), "confidence": outside("confidence"), **{f"blank_{c}": blank(F.col(c)) for c in ("race_id", "horse_id", "horse_name", "model_version")}, "duplicate": F.col("_n").isNotNull()}
-    return got.withColumn("faults", F.concat_ws(",", *[F.when(rule, name) for name, rule in rules.items()])).drop("_n").where("faults <> ''")
+    again = F.col("race_id").isNotNull() & F.col("horse_id").isNotNull() & (F.count("*").over(same) > 1)
+    rules = {"probability": outside("probability"), "confidence": outside("confidence"), **{f"blank_{c}": blank(F.col(c)) for c in ("race_id", "horse_id", "horse_name", "model_version")}, "duplicate": again}
+    return rows.withColumn("faults", F.nullif(F.concat_ws(",", *[F.when(rule, name) for name, rule in rules.items()]), F.lit("")))
+
+
+def paper_input_faults(rows: DataFrame) -> DataFrame:
+    """The predictions that break a guard, with ``faults``."""
+    return with_input_faults(rows).where("faults IS NOT NULL")
 
 
 def odds_evidence(kind: Column) -> tuple[Column, Column]:

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from racelab.functions import betting
 from racelab.operators import asof, ledger
 from racelab.sources.ledger_table import LedgerTable
+from racelab.sources.scratch import Scratch
 from racelab.streaming import exposure
 
 
@@ -36,9 +37,8 @@ def with_quotes(predictions: DataFrame, quotes: DataFrame, most_age_minutes: int
     """Predictions with the last quote at or before them and ``quote_status``: no_quote, stale (older than
     ``most_age_minutes``), after_post or ok. Quotes: race_id, horse_id, observed_at, decimal_odds,
     scheduled_post_time."""
-    key = F.concat_ws("\u0001", "race_id", "horse_id")
-    marks = quotes.select(key.alias("_key"), F.col("observed_at").alias("predicted_at"), "decimal_odds", "scheduled_post_time")
-    got = asof.latest_before(predictions.withColumn("_key", key), marks, "_key", "predicted_at", ["decimal_odds", "scheduled_post_time"]).drop("_key")
+    marks = quotes.select("race_id", "horse_id", F.col("observed_at").alias("predicted_at"), "decimal_odds", "scheduled_post_time")
+    got = asof.latest_before(predictions, marks, ["race_id", "horse_id"], "predicted_at", ["decimal_odds", "scheduled_post_time"])
     age = F.unix_micros("predicted_at") - F.unix_micros("quoted_at")
     status = F.when(F.col("quoted_at").isNull(), "no_quote").when(age > most_age_minutes * 60_000_000, "stale").when(F.coalesce(F.col("predicted_at") >= F.col("scheduled_post_time"), F.lit(True)), "after_post").otherwise("ok")
     return got.withColumn("quote_status", status)
@@ -57,18 +57,21 @@ def evaluations(predictions: DataFrame, quotes: DataFrame, bankroll: float, conf
     rows = predictions
     if evaluated is not None:
         rows = rows.join(evaluated.select("model_version", "race_id").distinct(), ["model_version", "race_id"], "left_anti")
-    faults = ledger.paper_input_faults(rows).groupBy("race_id", "horse_id").agg(F.max("faults").alias("faults"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("race_id", "horse_id")]
-    rows = rows.alias("r").join(faults.alias("f"), same, "left").select("r.*", "f.faults")
+    # rows of one key share their faults: no join, the windows are sorted once
+    rows = ledger.with_input_faults(rows).withColumn("faults", F.max("faults").over(Window.partitionBy("race_id", "horse_id")))
     quoted = with_quotes(rows, quotes, config.most_age_minutes)
     p, odds = F.col("probability"), F.col("decimal_odds")
     value = betting.expected_return(p, odds)
     why = F.when(F.col("faults").isNotNull(), F.concat(F.lit("invalid: "), "faults")).when(F.col("quote_status") != "ok", F.col("quote_status")).otherwise(betting.decision_reason(p, F.col("confidence"), value, config.min_p, config.min_confidence, config.min_value))
     fraction = F.when(why == "eligible", F.least(betting.kelly_fraction(p, odds) * config.share, F.lit(config.race))).otherwise(0.0)
     asked = quoted.withColumns({"expected_return": value, "why": why, "fraction": fraction, "day": F.coalesce(F.to_date("scheduled_post_time"), F.to_date("predicted_at"), F.lit("1970-01-01").cast("date"))})
+    # asked for the requests, then for all rows
+    asked = Scratch(predictions.sparkSession, "paper").save(asked, "asked")
     seed = None if exposed is None else exposure.seeded(exposed.withColumn("bankroll", F.lit(float(bankroll))), config.limits)
     stakes = exposure.exposures(asked.where("why = 'eligible'"), config.limits, seed, bankroll=float(bankroll), cap=config.cap)
-    got = asked.join(stakes.select("sequence", "day", "stake", "reason"), ["day", "sequence"], "left")
+    # only requests meet their stakes, other rows stay where they are
+    eligible = F.col("why").eqNullSafe("eligible")
+    got = asked.where(eligible).join(stakes.select("sequence", "day", "stake", "reason"), ["day", "sequence"], "left").unionByName(asked.where(~eligible), allowMissingColumns=True)
     reason = F.when(F.col("why") != "eligible", F.col("why")).when(F.col("reason") == "not_asked", "kelly_non_positive_or_below_unit").otherwise(F.col("reason"))
     stake = F.coalesce("stake", F.lit(0)).cast("long")
     return got.select(*predictions.columns, "day", F.col("quoted_at").alias("observed_at"), "decimal_odds", "scheduled_post_time", "expected_return", stake.alias("stake"), reason.alias("reason"), (stake > 0).alias("accepted"))

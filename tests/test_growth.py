@@ -174,3 +174,11 @@ def test_instants_take_one_match(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", iso_instant(F.col("t")).alias("at"))
     assert "regexp_" not in plan(got)
     assert {r.t: r.s for r in got.select("t", (F.unix_micros("at") / 1e6).alias("s")).collect()} == texts
+
+
+def test_guards_take_no_join(spark):
+    rows = spark.createDataFrame([("a", "x", 0.5), ("a", "x", 2.0), (None, "y", 0.5), (None, "y", 0.5), ("b", "z", 0.5)], "race_id string, horse_id string, probability double")
+    rows = rows.withColumns({"horse_name": F.lit("n"), "model_version": F.lit("v"), "confidence": F.lit(0.5)})
+    found = ledger.with_input_faults(rows)
+    assert "Join" not in plan(found)
+    assert sorted((r.horse_id, r.faults) for r in found.where("faults IS NOT NULL").collect()) == [("x", "duplicate"), ("x", "probability,duplicate"), ("y", "blank_race_id"), ("y", "blank_race_id")]
