@@ -98,6 +98,19 @@ def test_keys_are_counted_apart_from_the_joins(spark):
     assert text.index("Aggregate") < text.index("RepartitionByExpression") < text.index("Join")
 
 
+def test_medians_and_modes_only_where_values_lack(spark):
+    """One pass gives classes, modes and categories; the fit is that of the whole pipeline."""
+    rows = spark.range(400).select(F.col("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("k'"), (F.col("id") % 3).cast("string"))).alias("c"), (F.col("id") * 7 % 13 < 5).cast("int").alias("is_winner"))
+    holes = rows.withColumn("b", F.when(F.col("id") % 9 > 0, F.col("b")))
+    for df, lacking in ((rows, []), (holes, ["b"]), (rows.withColumn("b", F.nanvl(F.lit(float("nan")), F.lit(float("nan")))).limit(0), [])):
+        assert models.missing(df, ["a", "b"]) == lacking
+    for df, lacking in ((rows, []), (holes, ["b"])):
+        fitted = models.fit_complete(df, ["a", "b"], ["c"], lacking, "is_winner")
+        assert sum(type(s).__name__ == "ImputerModel" for s in fitted.stages) == len(lacking)
+        want = {r.id: r.probability[1] for r in models.fit_logistic(df, ["a", "b"], ["c"]).transform(df).collect()}
+        assert all(abs(want[r.id] - r.probability[1]) < 1e-9 for r in fitted.transform(df).collect())
+
+
 def test_a_re_read_is_judged_once(spark, tmp_path, monkeypatch):
     taken = []
     monkeypatch.setattr(LedgerTable, "replace_races", lambda self, update, *rest: taken.append(plan(update)) or {})
