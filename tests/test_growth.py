@@ -1,6 +1,9 @@
 """What larger tables showed: shared steps that ran several times, and keys beyond the smallest tables' range."""
 
+import datetime as dt
+import math
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from racelab.functions.times import iso_instant
 from racelab.ml import models
-from racelab.operators import bootstrap, history, ledger, parameters
+from racelab.operators import bootstrap, history, ledger, parameters, strategy
 from racelab.plans import models as plans
 from racelab.plans import raw, validation
 from racelab.sources import feed, records
@@ -195,3 +198,37 @@ def test_guards_take_no_join(spark):
     found = ledger.with_input_faults(rows)
     assert "Join" not in plan(found)
     assert sorted((r.horse_id, r.faults) for r in found.where("faults IS NOT NULL").collect()) == [("x", "duplicate"), ("x", "probability,duplicate"), ("y", "blank_race_id"), ("y", "blank_race_id")]
+
+
+def test_bankroll_goes_on_from_stretch_to_stretch(spark):
+    """Stretches that cut days but no race, with and without races that take their whole cap; the tie goes by post."""
+    rng = random.Random(5)
+    rows = [(dt.date(2020, 1, 1 + k // 60), k // 3, rng.choice((0.3, 0.5)), rng.choice((2.2, 4.0, 9.0)), int(rng.random() < 0.4), k % 3) for k in range(600)]
+    candidates = spark.createDataFrame(rows, "race_date date, rid long, p double, win_odds double, is_winner int, post int").repartition(5)
+    names = spark.createDataFrame([("low", 0.0), ("high", 0.5)], "s string, least double")
+    got = strategy.simulate(candidates, "s", deal=lambda r: r.join(F.broadcast(names), F.col("p") >= F.col("least")), ties=("post",), stretch=70)
+    assert len(set(f.rsplit("/", 1)[0] for f in got.inputFiles())) >= 8
+    found = sorted((r.s, r.race_date, r.rid, r.bankroll, r.stake, r.payout, round(r.drawdown, 12)) for r in got.collect())
+    want = []
+    for name, least in (("low", 0.0), ("high", 0.5)):
+        money = peak = 100_000.0
+        day, day_left, race, race_left, pending = None, 0, None, 0, []
+        mine = sorted((r for r in rows if r[2] >= least), key=lambda r: (r[0], r[1], -(r[2] * r[3] - 1), -r[2], r[5]))
+        for r in [*mine, None]:
+            if r is None or (r[0], r[1]) != race:
+                for stake, paid in pending:
+                    money += paid - stake
+                    peak = max(peak, money)
+                    want.append((name, *race, money, stake, paid, round(1 - money / peak, 12)))
+                if r is None:
+                    break
+                if r[0] != day:
+                    day, day_left = r[0], math.floor(money * 0.2 / 100) * 100
+                race, pending = (r[0], r[1]), []
+                race_left = min(day_left, math.floor(min(money * 0.05, 5000) / 100) * 100)
+            kelly = max(0.0, min(1.0, (r[2] * r[3] - 1) / (r[3] - 1)))
+            stake = int(min(math.floor(money * kelly * 0.25 / 100) * 100, race_left))
+            if stake >= 100:
+                race_left, day_left = race_left - stake, day_left - stake
+                pending.append((stake, round(stake * r[3]) if r[4] else 0))
+    assert found == sorted(want) and {s for *_, s, _, _ in want} > {5000}
