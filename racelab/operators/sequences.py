@@ -31,6 +31,29 @@ def streaks(df: DataFrame, win: str, day: str, order: list[str]) -> DataFrame:
     return islands.agg(F.max("losses").alias("longest"), F.max_by("losses", "total").alias("current"))
 
 
+def extremes(df: DataFrame, value: str, win: str, day: str, order: list[str]) -> DataFrame:
+    """One row: (max_drawdown, longest_losing_streak), 0 without rows, as ``running`` and ``streaks`` give them,
+    from one window: a day is summed up by what a drawdown or a streak that began before it needs."""
+    inside = Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({"_in": F.sum(value).over(inside), "_island": F.sum(win).over(inside)})
+    rows = rows.withColumn("_down", F.max("_in").over(inside) - F.col("_in"))
+    islands = rows.groupBy(day, "_island").agg(F.count_if(F.col(win) == 0).alias("_losses"), F.sum(value).alias("_sum"), F.max("_in").alias("_max"), F.min("_in").alias("_min"), F.max("_down").alias("_down"))
+    days = islands.groupBy(day).agg(
+        F.sum("_sum").alias("_sum"), F.max("_max").alias("_max"), F.min("_min").alias("_min"), F.max("_down").alias("_down"), F.max("_losses").alias("_longest"),
+        F.coalesce(F.max(F.when(F.col("_island") == 0, F.col("_losses"))), F.lit(0)).alias("_first"), F.max_by("_losses", "_island").alias("_last"), (F.max("_island") > 0).cast("int").alias("_won"),
+    )
+    before = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumns({"_base": F.coalesce(F.sum("_sum").over(before), F.lit(0)), "_since": F.sum("_won").over(upto)})
+    days = days.withColumn("_peak", F.greatest(F.lit(0), F.coalesce(F.max(F.col("_base") + F.col("_max")).over(before), F.lit(0))))
+    # losses since the last win, at the end of each day
+    days = days.withColumn("_open", F.sum("_last").over(Window.partitionBy("_since").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)))
+    days = days.withColumn("_open", F.coalesce(F.lag("_open").over(Window.orderBy(day)), F.lit(0)))
+    worst = F.greatest(F.col("_down"), F.col("_peak") - F.col("_base") - F.col("_min"))
+    streak = F.greatest(F.col("_longest"), F.col("_open") + F.col("_first"))
+    return days.agg(F.coalesce(F.max(worst), F.lit(0)).alias("max_drawdown"), F.coalesce(F.max(streak), F.lit(0)).alias("longest_losing_streak"))
+
+
 def budget_caps(df: DataFrame, desired: str, group: list[str], order: list, budget: int) -> DataFrame:
     """Greedy filling of a budget: each row gets what is left before it, at most what it wants."""
     before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

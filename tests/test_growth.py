@@ -6,15 +6,16 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from racelab.functions.times import iso_instant
 from racelab.ml import models
-from racelab.operators import bootstrap, history, ledger, parameters, strategy
+from racelab.operators import bootstrap, history, ledger, parameters, sequences, strategy
 from racelab.plans import models as plans
-from racelab.plans import raw, validation
+from racelab.plans import ledgers, raw, validation
 from racelab.sources import feed, records
 from racelab.sources.ledger_table import LedgerTable, incremental
 from racelab.streaming.exposure import Exposure, Limits
@@ -232,3 +233,35 @@ def test_bankroll_goes_on_from_stretch_to_stretch(spark):
                 race_left, day_left = race_left - stake, day_left - stake
                 pending.append((stake, round(stake * r[3]) if r[4] else 0))
     assert found == sorted(want) and {s for *_, s, _, _ in want} > {5000}
+
+
+def test_draws_take_no_product_for_each_replicate():
+    """The same weights as by the products, up to the largest number; beyond it the products are used."""
+    number = np.array([0, 1, 65520, 65521, 65522, 2147483647, bootstrap._LARGEST - 1, bootstrap._LARGEST] + list(range(7, 90_000_000, 1_234_567)))
+    value = np.arange(len(number)) + 1.0
+    total = np.zeros((5000, 2))
+    bootstrap._add_draws(total, number, [value])
+    weights = bootstrap._weights(number, np.arange(5000))
+    assert (total[:, 0] == value @ weights).all() and (total[:, 1] == weights.sum(0)).all()
+
+
+def test_negative_numbers_weigh_nothing(spark):
+    races = spark.createDataFrame([(-5, 3), (4, 2), (6, 7)], "id long, stake long")
+    both = [sorted(map(tuple, bootstrap.replicates(r.coalesce(1), "id", ["stake"], 50).collect())) for r in (races, races.where("id >= 0"))]
+    assert both[0] == both[1]
+
+
+def test_settlement_computes_the_runners_once(spark):
+    reads = [plan(df).count("Relation") for df in (ledgers.bets(spark, SF), ledgers._settled(spark, SF))]
+    assert 0 < reads[0] == reads[1]
+
+
+def test_extremes_are_those_of_running_totals(spark):
+    rng = random.Random(3)
+    for wins in (0.0, 0.05, 0.4, 1.0):
+        rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=k // 4), k, int(rng.random() < wins)) for k in range(200) if k // 4 % 5]
+        df = spark.createDataFrame([(*r, 150 if r[2] else -100) for r in rows], "day date, id long, won int, profit long")
+        run = sequences.running(df, "profit", "day", ["id"]).agg(F.max(F.col("peak") - F.col("total"))).first()[0]
+        longest = sequences.streaks(df, "won", "day", ["id"]).first().longest
+        assert tuple(sequences.extremes(df, "profit", "won", "day", ["id"]).first()) == (run, longest)
+    assert tuple(sequences.extremes(df.where("id < 0"), "profit", "won", "day", ["id"]).first()) == (0, 0)
