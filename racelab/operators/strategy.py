@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from racelab.sources.scratch import Scratch
+from racelab.sources.scratch import Scratch, batches_by_rows
 
 #: Candidates of a stretch: what a task reads follows from it, not from the table.
 STRETCH_ROWS = 2_000_000
@@ -192,7 +192,8 @@ def simulate(bets: DataFrame, group: str, bankroll: float = 100_000.0, share: fl
             part = part.unionByName(states, allowMissingColumns=True)
         # a state has no day, so that it comes first
         ordered = part.repartition(group).sortWithinPartitions("race_date", F.col("state").isNull(), *order).drop(*ties)
-        done.append(scratch.save(ordered.mapInArrow(fold, f"race_date date, rid long, stake long, payout long, bankroll double, drawdown double, `{group}` {kind}, state {state}"), "bets"))
+        with batches_by_rows(bets.sparkSession):
+            done.append(scratch.save(ordered.mapInArrow(fold, f"race_date date, rid long, stake long, payout long, bankroll double, drawdown double, `{group}` {kind}, state {state}"), "bets"))
         states = done[-1].where("state IS NOT NULL").select(group, "state")
     found = bets.sparkSession.read.schema(done[0].schema).parquet(*[t._scratch_path for t in done])
     return found.where("state IS NULL").drop("state")
