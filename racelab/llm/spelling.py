@@ -10,7 +10,9 @@ Words join where such a shift makes their keys equal, and their letters are then
   of the two words is untouched by a single edit, so the half (as text) is part of the join key: words
   with the same bag of letters but another order hardly meet, and an entry's group holds at most the
   words that one alphabet's letters make of it;
-* the join is between distinct words only; copies of texts and frequent words are counted before it.
+* the join is between distinct words only; copies of texts and frequent words are counted before it. It is
+  always a merge join: Spark sizes entries by the table of words that they are exploded from, some twenty times
+  too low, and would broadcast them.
 
 The 5th power of a rank up to 90 (a-z, then U+00C0 to U+00FF) sums to less than 2^63 for any string.
 
@@ -84,7 +86,7 @@ def pairs(words: DataFrame) -> DataFrame:
     a, b = entry.alias("a"), entry.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "side", "half", "len")]
     near = F.levenshtein("a.word", "b.word", 1) == 1
-    exchange = a.join(b, [*same, F.col("a.letter") != F.col("b.letter"), near]).select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
+    exchange = a.join(b.hint("merge"), [*same, F.col("a.letter") != F.col("b.letter"), near]).select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
 
     # an addition: the longer word's key without a letter is the shorter one's whole key
     cut = F.floor((F.col("len") - 1) / 2).cast("int")
@@ -93,7 +95,7 @@ def pairs(words: DataFrame) -> DataFrame:
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "side", "half", "cut")]
     # a pair with both halves in common is met on the left only
     once = (F.col("a.side") == "l") | (F.substring("a.word", F.lit(1), F.col("a.cut")) != F.substring("b.word", F.lit(1), F.col("a.cut")))
-    added = longer.join(shorter, [*same, once, near]).select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
+    added = longer.join(shorter.hint("merge"), [*same, once, near]).select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
     both = F.explode(F.array(F.struct("word", "n", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))))
     return exchange.unionByName(added.select(both.alias("p")).select("p.*"))
 
@@ -116,8 +118,8 @@ def rooted(found: DataFrame, scratch: Scratch, ratio: int = 5) -> DataFrame:
     hop = found.where("form is not null").select("word", F.col("form").alias("root"))
     for _ in range(max(1, math.ceil(math.log2(steps)) if steps > 1 else 1)):
         ahead = hop.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        hop = scratch.save(hop.join(ahead, "root", "left").select("word", F.coalesce("_next", "root").alias("root")), "roots")
-    return found.join(hop, "word", "left").withColumn("root", F.coalesce("root", "word"))
+        hop = scratch.save(hop.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("_next", "root").alias("root")), "roots")
+    return found.join(hop.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(docs: DataFrame, least: int = 6, occurrences: int = 5, ratio: int = 5, every: int = 199) -> DataFrame:

@@ -102,3 +102,14 @@ def test_edges(spark):
     assert plain(spelling.variants(frame(spark, rows), occurrences=2)) == brute(brute_words(rows, occurrences=2))
     assert spelling.variants(empty(spark)).count() == 0
     assert spelling.variants(frame(spark, [(1, None), (2, "short")])).count() == 0
+
+
+def test_entries_are_never_broadcast(spark):
+    """A small table of words explodes into many entries, whose size Spark tells from the words'."""
+    scratch = Scratch(spark, "spelling-test")
+    words = scratch.save(spark.range(2000).select(spelling.F.concat(spelling.F.lit("word"), spelling.F.translate(spelling.F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("word"), spelling.F.lit(5).cast("long").alias("n")), "words")
+    found = scratch.save(spelling.forms(words), "forms")
+    for df in (spelling.pairs(words), spelling.forms(words), spelling.rooted(found, scratch)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
